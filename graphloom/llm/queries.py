@@ -44,6 +44,53 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken", PATTERN)
 
 
+@_query
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from graphloom.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken", PATTERN)
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.language_id import identify, learn_profiles
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    profiles = learn_profiles(docs.where(~held_out))
+    return identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+@_query
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.topk_search import top_k, usable
+
+    rows = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    vectors = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("vector"))
+    return top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+ORACLES["op10_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.c, c.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
