@@ -63,6 +63,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "kept")
+
+
 @_query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_counts import token_counts
