@@ -70,6 +70,14 @@ def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "kept")
 
 
+@_query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import find_spans, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return find_spans(docs, fit(docs))
+
+
 @_query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_counts import token_counts
