@@ -44,6 +44,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken", PATTERN)
 
 
+@_query
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ngram_lm import score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return score_documents(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+
+
 @_query
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
