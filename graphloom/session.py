@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, wherever the driver found it; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent
+        if top.is_dir():
+            target = Path(tempfile.mkdtemp(prefix="graphloom-ship-")) / "graphloom.zip"
+            with zipfile.ZipFile(target, "w") as archive:
+                for source in sorted(top.rglob("*.py")):
+                    archive.write(source, str(source.relative_to(top.parent)))
+            context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+    return spark
