@@ -70,6 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs`` with all their columns."""
-    decisions = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(decisions, docs[id_col].eqNullSafe(decisions["_kept_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    kept = exact_dedup(docs, id_col, text_col, digest=True).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    rows = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_digest"] == kept["_kept_text"]), "left_semi")
+    return rows.dropDuplicates([id_col, "_digest"]).drop("_digest")

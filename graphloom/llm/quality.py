@@ -174,3 +174,20 @@ def resample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     weighed = stored(weigh(docs, model, id_col, text_col, seed), "quality-weights")
     k = weighed.where(F.col("log_weight") > model.border).count()
     return weighed.withColumn("kept", F.col("key") >= kth_greatest(weighed, "key", k))
+
+
+def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns. Keys are computed again where the rows stand, so no text is shuffled."""
+    model = fit(docs, labels, label_col, most, id_col, text_col)
+    weighed = stored(weigh(docs, model, id_col, text_col, seed), "quality-weights")
+    least = kth_greatest(weighed, "key", weighed.where(F.col("log_weight") > model.border).count())
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column(at_id).fill_null(0)).astype(np.int64)
+            for lo, hi, data, offsets in text_chunks(strings(batch.column(at_text))):
+                keys = model(data, offsets) - np.log(-np.log(uniform(ids[lo:hi], seed)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(keys >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(function):
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(ship(spark), sf_dir)
     return function
 
 
@@ -44,6 +46,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken", PATTERN)
 
 
+@_query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.ngram_lm import score_documents
@@ -115,6 +124,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
