@@ -2,7 +2,8 @@
 
 Two generative models of hashed n-grams are counted: one of target text (labelled good), one of the raw corpus. A document's log
 importance weight is the log ratio of the two for its features; adding Gumbel noise and keeping the k greatest keys samples k
-documents without replacement in proportion to their weights. k is not a quota chosen beforehand: it is the number of documents whose
+documents without replacement in proportion to their weights. So that long documents are not all or nothing, a document's weight is
+that of one of standard length with the same mean log ratio. k is not a quota chosen beforehand: it is the number of documents whose
 weight exceeds the border that best parts the labelled rows, so it follows the corpus.
 
 The raw model counts every document whole. Only labelled rows are sampled, by a hash of their id, up to ``LABELLED`` rows: one half
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import _SPACE, mix, span_hashes, strings, text_chunks, uniform
 from graphloom.session import stored
 
-BUCKETS, LABELLED, SMOOTHING, SEED = 1 << 15, 20_000, 0.5, 7
+BUCKETS, LABELLED, SMOOTHING, SEED = 1 << 16, 20_000, 4.0, 7
+#: Weights are those of a document of so many features with the same mean; the border counts a good document lost as so many bad passed.
+STANDARD, LOST = 1000, 3.0
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -65,22 +68,25 @@ class Ratio:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         found, rows = features(data, offsets, len(self.weights))
-        return np.bincount(rows, self.weights[found], minlength=len(offsets) - 1)
+        n = len(offsets) - 1
+        return STANDARD * np.bincount(rows, self.weights[found], minlength=n) / np.maximum(1, np.bincount(rows, minlength=n))
 
 
-def log_model(counts: np.ndarray) -> np.ndarray:
-    return np.log(counts + SMOOTHING) - math.log(counts.sum() + SMOOTHING * len(counts))
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio of the two models by bucket, each smoothed by as many counts, so that rare buckets say little either way."""
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
 
 
 def border_between(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that parts the two samples with the least sum of their error rates; the middle of the gap around it."""
+    """The weight that parts the two samples with the least sum of error rates, LOST times that of the good; the middle of its gap."""
     if not len(good) or not len(bad):
         return -math.inf
     values = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
     lost = np.searchsorted(np.sort(good), cuts) / len(good)
     passed = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[int(np.argmin(lost + passed))])
+    return float(cuts[int(np.argmin(LOST * lost + passed))])
 
 
 def _bucket_counts(texts: DataFrame, group: str) -> DataFrame:
@@ -120,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
             counts[bucket] += n
     if not target.sum():
         return Ratio(np.zeros(BUCKETS), -math.inf)
-    model = Ratio(log_model(target) - log_model(raw), 0.0)
+    model = Ratio(log_ratio(target, raw), 0.0)
     judged = sample.where(~teaches)
     by = {g: np.array([w for (w,) in weigh(judged.where(F.col("good") == g), model).select("log_weight").collect()]) for g in (0, 1)}  # at most ``most`` rows
     return Ratio(model.weights, border_between(by[1], by[0]))
