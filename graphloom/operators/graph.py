@@ -1,0 +1,170 @@
+"""Knowledge-graph reads: hops, statistics, paths, reification and alias merging."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.operators.components import connected_components
+from graphloom.session import cut
+
+FACT = ["subject", "relation", "object"]
+LABEL_WIDTH = 72
+
+
+def scoped(edges: DataFrame, sample_id: str | None) -> DataFrame:
+    """The edges of one sample; None reads all."""
+    return edges if sample_id is None else edges.where(F.col("sample_id") == sample_id)
+
+
+def one_hop(edges: DataFrame, entities: DataFrame, name: str = "name", sample_id: str | None = None, filtered: DataFrame | None = None) -> DataFrame:
+    """Facts that touch any of the entities as subject or object (with ``filtered`` those rejected by the ontology too), once each."""
+    rows = edges if filtered is None else edges.unionByName(filtered, allowMissingColumns=True)
+    names = entities.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
+    rows = scoped(rows, sample_id)
+    hit = rows.join(names.withColumnRenamed("_n", "subject"), "subject", "left_semi").select(*rows.columns)
+    other = rows.join(names.withColumnRenamed("_n", "object"), "object", "left_semi").join(names.withColumnRenamed("_n", "subject"), "subject", "left_anti").select(*rows.columns)
+    return hit.unionByName(other)
+
+
+def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, name: str = "name", sample_id: str | None = None, qualifiers: bool = False) -> DataFrame:
+    """Distinct facts on nodes less than ``depth`` steps from the seeds, with their provenance.
+
+    Each round joins only the new frontier. With qualifiers a fact also leads on to its qualifiers' objects, but not back from them.
+    """
+    rows = scoped(edges, sample_id)
+    columns = [*FACT, *(["qualifiers"] if qualifiers else []), "source_text_id"]
+    frontier = cut(seeds.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct())
+    visited, found = frontier, None
+    for step in range(depth):
+        facts = one_hop(rows, frontier, "_n").select(*columns)
+        found = facts if found is None else found.union(facts)
+        if step + 1 == depth:
+            break
+        facts = cut(facts)
+        reached = facts.select(F.col("subject").alias("_n")).union(facts.select("object"))
+        if qualifiers:
+            reached = reached.union(facts.select(F.explode("qualifiers.object")))
+        frontier = cut(reached.where("_n IS NOT NULL").distinct().join(visited, "_n", "left_anti"))
+        visited = cut(visited.union(frontier))
+    return found.distinct()
+
+
+def simple_edges(edges: DataFrame, group: list[str] = ()) -> DataFrame:
+    """Distinct (subject, object) pairs with both ends."""
+    return edges.where("subject IS NOT NULL AND object IS NOT NULL").select(*group, "subject", "object").distinct()
+
+
+def last_relation(edges: DataFrame, seq: str = "seq") -> DataFrame:
+    """One edge for each (subject, object): the relation stored last."""
+    return edges.where("subject IS NOT NULL AND object IS NOT NULL").groupBy("subject", "object").agg(F.max_by("relation", seq).alias("relation"))
+
+
+def graph_size(edges: DataFrame, group: list[str] = ()) -> DataFrame:
+    """nodes, edges and mean degree (a loop counts twice), 0 where empty."""
+    pairs = simple_edges(edges, group)
+    ends = pairs.select(*group, F.col("subject").alias("node")).union(pairs.select(*group, F.col("object").alias("node"))).distinct()
+    nodes, links = ends.groupBy(*group).agg(F.count(F.lit(1)).alias("nodes")), pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("edges"))
+    both = nodes.join(links, list(group)) if group else nodes.join(links, F.lit(True))
+    return both.withColumn("mean_degree", F.coalesce(F.try_divide(2.0 * F.col("edges"), F.col("nodes")), F.lit(0.0)))
+
+
+def local_clustering(edges: DataFrame, group: list[str] = ()) -> DataFrame:
+    """(node, degree, clustering) of the undirected simple graph; nodes with fewer than two neighbours have 0.
+
+    Triangles are found from each edge's end of lower degree, which bounds the work at frequent nodes.
+    """
+    pairs = simple_edges(edges, group)
+    g = list(group)
+    flat = cut(pairs.where("subject <> object").select(*g, F.least("subject", "object").alias("x"), F.greatest("subject", "object").alias("y")).distinct())
+    ends = flat.select(*g, F.col("x").alias("node")).union(flat.select(*g, F.col("y").alias("node")))
+    degree = cut(ends.groupBy(*g, "node").agg(F.count(F.lit(1)).alias("degree")))
+    dx, dy = degree.select(*g, F.col("node").alias("x"), F.col("degree").alias("dx")), degree.select(*g, F.col("node").alias("y"), F.col("degree").alias("dy"))
+    ranked = flat.join(dx, [*g, "x"]).join(dy, [*g, "y"])
+    up = F.struct("dx", "x") < F.struct("dy", "y")
+    directed = cut(ranked.select(*g, F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b")))
+    wedges = directed.alias("l").join(directed.select(*g, "a", F.col("b").alias("c")).alias("r"), [*g, "a"]).where("b < c")
+    closed = wedges.join(flat.select(*g, F.col("x").alias("b"), F.col("y").alias("c")), [*g, "b", "c"])
+    corners = closed.select(*g, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*g, "node").agg(F.count(F.lit(1)).alias("triangles"))
+    every = pairs.select(*g, F.col("subject").alias("node")).union(pairs.select(*g, "object")).distinct()
+    d = F.coalesce("degree", F.lit(0))
+    value = F.when(d < 2, F.lit(0.0)).otherwise(2.0 * F.coalesce("triangles", F.lit(0)) / (d * (d - 1)))
+    return every.join(degree, [*g, "node"], "left").join(corners, [*g, "node"], "left").select(*g, "node", d.alias("degree"), value.alias("clustering"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node, lone ones with a loop included."""
+    pairs = simple_edges(edges)
+    every = pairs.select(F.col("subject").alias("node")).union(pairs.select("object")).distinct()
+    found = connected_components(pairs, "subject", "object")
+    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    return components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"))
+
+
+def sample_components(edges: DataFrame) -> DataFrame:
+    """Largest component of each sample: nodes are told apart by sample, so one run serves all samples."""
+    own = lambda c: F.concat_ws("\u0001", "sample_id", c)
+    found = components(edges.where("sample_id IS NOT NULL").select(own("subject").alias("subject"), own("object").alias("object")))
+    sizes = found.groupBy(F.split("node", "\u0001")[0].alias("sample_id"), "component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("sample_id").agg(F.max("n").alias("largest_component"))
+
+
+def alias_statistics(aliases: DataFrame, label: str = "label") -> DataFrame:
+    """Rows, distinct labels and aliases a label; empty labels do not count."""
+    rows = aliases.where(F.coalesce(F.col(label), F.lit("")) != "").groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("aliases"), F.count(F.lit(1)).alias("labels")).withColumn("aliases_per_label", F.coalesce(F.try_divide(F.col("aliases").cast("double"), F.col("labels")), F.lit(0.0)))
+
+
+def shortened(text) -> F.Column:
+    return F.when(F.length(text) > LABEL_WIDTH, F.concat(F.substring(text, 1, LABEL_WIDTH), F.lit("…"))).otherwise(text)
+
+
+def _statements(edges: DataFrame) -> DataFrame:
+    return edges.where(F.size("qualifiers") > 0).withColumn("st", F.concat(F.lit("st:"), F.col("source_text_id")))
+
+
+def reified_nodes(edges: DataFrame) -> DataFrame:
+    """(id, label, kind): entities, and a statement node for each fact with qualifiers."""
+    names = edges.select(F.col("subject").alias("n")).union(edges.select("object")).union(edges.select(F.explode("qualifiers.object"))).where("n IS NOT NULL").distinct()
+    return names.select(F.concat(F.lit("e:"), "n").alias("id"), shortened(F.col("n")).alias("label"), F.lit("entity").alias("kind")).union(_statements(edges).select(F.col("st"), shortened(F.col("relation")), F.lit("statement")).distinct())
+
+
+def reified_edges(edges: DataFrame) -> DataFrame:
+    """(source, target, label): plain facts as one edge; qualified ones by way of their statement node."""
+    entity = lambda c: F.concat(F.lit("e:"), c)
+    plain = edges.where(F.size("qualifiers") == 0).select(entity(F.col("subject")).alias("source"), entity(F.col("object")).alias("target"), F.col("relation").alias("label"))
+    held = _statements(edges)
+    into = held.select(entity(F.col("subject")), F.col("st"), F.lit("subject of"))
+    out = held.select("st", entity(F.col("object")), "relation")
+    more = held.select("st", F.explode("qualifiers").alias("q")).select("st", entity(F.col("q.object")), F.col("q.relation"))
+    return plain.union(into).union(out).union(more).distinct()
+
+
+def plain_graph(edges: DataFrame, banned: str = "ITEM") -> DataFrame:
+    """Edges of the plain view: names that hold the banned word are left out."""
+    return edges.where(~F.col("subject").contains(banned) & ~F.col("object").contains(banned)).select("subject", "object", "relation").distinct()
+
+
+def incident(edges: DataFrame, node: str) -> DataFrame:
+    return edges.where((F.col("subject") == node) | (F.col("object") == node))
+
+
+def two_hop_paths(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Paths of two facts in a row, spelled with arrows."""
+    a, b = first.select(*FACT).distinct().alias("a"), second.select(*FACT).distinct().alias("b")
+    return a.join(b, F.col("a.object") == F.col("b.subject")).select(F.concat_ws(" -> ", "a.subject", "a.relation", "a.object", "b.relation", "b.object").alias("path"))
+
+
+def path_tokens(paths: DataFrame) -> DataFrame:
+    """(path, pos, token, is_relation): odd places are relations."""
+    return paths.select("path", F.posexplode(F.split("path", " -> ")).alias("pos", "token")).withColumn("is_relation", F.col("pos") % 2 == 1)
+
+
+def resolve_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Facts with alias names replaced by their canonical ones, once each. ``aliases``: alias, canonical."""
+    names = aliases.groupBy("alias").agg(F.min("canonical").alias("canonical"))
+    s, o = (names.select(F.col("alias").alias(side), F.col("canonical").alias(f"c_{side}")) for side in ("subject", "object"))
+    return edges.select(*FACT).join(s, "subject", "left").join(o, "object", "left").select(F.coalesce("c_subject", "subject").alias("subject"), "relation", F.coalesce("c_object", "object").alias("object")).distinct()
