@@ -148,7 +148,7 @@ class Catalog:
     def upsert(self, name: str, df: DataFrame, key: list[str], seq: str | None = None, policy: str = "first") -> None:
         rows = df if seq else df.withColumn("_seq", F.monotonically_increasing_id())
         merged = upsert(self.read(name), rows, key, seq or "_seq", policy)
-        self.write(name, merged.select(*[c for c in merged.columns if c != "_seq"]))
+        self.write(name, merged.select(*[c for c in merged.columns if c not in ("_seq", seq)]))
 
     def check_dimensions(self, name: str, dims: int, column: str = "alias_text_embedding") -> bool:
         """Whether all stored vectors have ``dims`` components."""
