@@ -37,6 +37,10 @@ SLACK = 5.0
 
 _U = np.uint64
 _PROBES = np.random.default_rng(97).integers(0, REGISTERS, (4096, REGISTERS)).astype(np.int64)
+#: Each band's keys are told apart by a constant of its own, so that a key alone names band and registers.
+_SALTS = np.random.default_rng(96).integers(0, 2**63, BANDS, dtype=_U)
+#: Logarithm of the number of buckets in which ids of documents to confirm are broadcast.
+ID_BITS = 19
 _FACTORS = np.random.default_rng(98).integers(1, 2**63, WORDS, dtype=_U) | _U(1)
 
 
@@ -99,7 +103,7 @@ def by_chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def passes_estimate(bands_a: np.ndarray, bands_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether the corrected estimate allows a similarity of the threshold. Bands are rows of 64-bit keys, filled rows of bits."""
-    va, vb = (x.view(np.uint16).reshape(len(x), REGISTERS) for x in (bands_a, bands_b))
+    va, vb = ((x.view(_U) ^ _SALTS).view(np.uint16).reshape(len(x), REGISTERS) for x in (bands_a, bands_b))
     fa, fb = (np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").astype(bool) for x in (filled_a, filled_b))
     both, either = fa & fb, (fa | fb).sum(1)
     matches = ((va == vb) & both).sum(1) - by_chance(na.astype(float), nb.astype(float)) * both.sum(1)
@@ -121,7 +125,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
                 values, filled = registers(sets)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * width, pa.int32()), pa.array(flat.ravel())) for width, flat in ((BANDS, values.view(np.int64)), (REGISTERS // 64, np.packbits(filled, axis=1, bitorder="little").view(np.int64)))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * width, pa.int32()), pa.array(flat.ravel())) for width, flat in ((BANDS, (values.view(_U) ^ _SALTS).view(np.int64)), (REGISTERS // 64, np.packbits(filled, axis=1, bitorder="little").view(np.int64)))]
                 sums = [pa.array(np.array([f(s) for s in sets], _U).view(np.int64)) for f in (lambda s: s.sum(dtype=_U), lambda s: np.bitwise_xor.reduce(mix(s), initial=_U(0)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), *sums, *lists], names=["doc_id", "n", "k1", "k2", "bands", "filled"])
 
@@ -131,9 +135,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the estimate lets through."""
+    """The pairs (a, b) of comparable size that the estimate lets through."""
     sides = [classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("class_id", "n", "bands", "filled")]) for s in "ab"]
     joined = pairs.join(sides[0], pairs["a"] == F.col("class_id_a")).join(sides[1], pairs["b"] == F.col("class_id_b"))
+    joined = joined.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +150,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. ``docs``: doc_id, text."""
+    """The pairs whose full shingle sets reach the threshold. ``docs``: doc_id, text.
+
+    Only texts whose id shares a bucket with an id of the pairs are shuffled; the buckets are bounded in number, so they may be broadcast.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("int")
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).select(bucket.alias("_bucket")).distinct())
+    docs = docs.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").select("doc_id", "text")
     sides = [docs.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"]
     joined = pairs.join(sides[1], pairs["b"] == F.col("id_b")).select("a", "b", "text_b").join(sides[0], F.col("a") == F.col("id_a"))
 
@@ -170,14 +181,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _within_blocks(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one bucket that the estimate lets through.
 
-    ``rows``: band, key, size, class_id, comp, n, bands, filled. A bucket's members are dealt to blocks, and each pair of blocks is one
-    run of rows in some partition; a pair is named only in the first band that its members share.
+    ``rows``: key, size, class_id, comp, n, bands, filled. A bucket's members are dealt to blocks, and each pair of blocks is one run of
+    rows in some partition; a pair is named only in the first band that its members share.
     """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled")
-    keys = ["band", "key", "i", "j"]
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled")
+    keys = ["key", "i", "j"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
 
@@ -192,13 +203,14 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
         x, y = x[on], y[on]
         if not len(x):
             return x, y
-        on = (t["bands"][x] == t["bands"][y]).argmax(1) == t["band"][0]
+        same = t["bands"][x] == t["bands"][y]
+        on = t["bands"][x, same.argmax(1)] == t["key"][0]
         x, y = x[on], y[on]
         on = passes_estimate(t["bands"][x], t["bands"][y], t["filled"][x], t["filled"][y], t["n"][x], t["n"][y]) if len(x) else np.zeros(0, bool)
         return t["class_id"][x[on]], t["class_id"][y[on]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("band", "key", "i", "j", "side", "class_id", "comp", "n")
+        names = ("key", "i", "j", "side", "class_id", "comp", "n")
         left: dict[str, np.ndarray] | None = None
 
         def emit(t: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
@@ -209,7 +221,7 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {k: np.array(batch.column(i)) for i, k in enumerate(names)} | {k: _longs(batch.column(8 + i)) for i, k in enumerate(("bands", "filled"))}
+            t = {k: np.array(batch.column(i)) for i, k in enumerate(names)} | {k: _longs(batch.column(7 + i)) for i, k in enumerate(("bands", "filled"))}
             if left is not None:
                 t = {k: np.concatenate([left[k], v]) for k, v in t.items()}
             new = np.zeros(len(t["key"]), bool)
@@ -232,19 +244,17 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = F.min(F.struct("doc_id", "bands", "filled")).alias("m")
     classes = stored(named.groupBy("k1", "k2", "n").agg(least).select("k1", "k2", "n", F.col("m.doc_id").alias("class_id"), F.col("m.bands").alias("bands"), F.col("m.filled").alias("filled")), "near-classes")
 
-    index = classes.select("class_id", "n", F.posexplode("bands").alias("band", "key"))
-    leads = index.groupBy("band", "key").agg(F.min(F.struct("class_id", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    leads = stored(leads.select("band", "key", F.col("lead.class_id").alias("a"), F.col("lead.n").alias("n_a"), "size"), "near-buckets")
-    close = 100 * F.least("n", "n_a") >= PERCENT * F.greatest("n", "n_a")
-    stars = index.join(leads, ["band", "key"]).where((F.col("class_id") != F.col("a")) & close).select("a", F.col("class_id").alias("b")).distinct()
-    first = cut(_confirmed(_estimated(stars, classes), docs))
+    index = classes.select("class_id", F.explode("bands").alias("key"))
+    leads = stored(index.groupBy("key").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    stars = cut(index.join(leads, "key").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct())
+    first = cut(_confirmed(cut(_estimated(stars, classes)), docs))
 
     # Buckets of three or more that still hold several components: there are pairs that no star has tested.
     comps = cut(connected_components(first, "a", "b"))
     in_comp = stored(classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("component", "class_id")).select("class_id", "n", "comp", "bands", "filled"), "near-members")
-    members = in_comp.select("class_id", "comp", F.posexplode("bands").alias("band", "key")).join(leads.where("size > 2").select("band", "key", "size"), ["band", "key"])
-    open_buckets = cut(members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("band", "key", "size"))
-    rows = in_comp.select("class_id", "comp", "n", "bands", "filled", F.posexplode("bands").alias("band", "key")).join(open_buckets, ["band", "key"])
+    members = stored(in_comp.select("class_id", "comp", F.explode("bands").alias("key")).join(leads.where("size > 2").select("key", "size"), "key"), "near-index")
+    open_buckets = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+    rows = members.join(open_buckets, "key", "left_semi").select("key", "size", "class_id").join(in_comp, "class_id")
     second = _confirmed(cut(_within_blocks(rows)), docs)
     return sketches, classes, cut(first.union(second).distinct())
 
