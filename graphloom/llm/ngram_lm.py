@@ -37,7 +37,7 @@ from graphloom.session import new_path
 
 ORDER = 3
 #: Words handled at once, words of text for each shard, and the range of -log10 that 8 bits hold for probabilities and weights.
-BLOCK_WORDS, SHARD_WORDS, PROB_RANGE, WEIGHT_RANGE = 1 << 20, 6_000_000, 8.0, 3.0
+BLOCK_WORDS, SHARD_WORDS, PROB_RANGE, WEIGHT_RANGE = 1 << 20, 3_000_000, 8.0, 3.0
 #: The end token's place among word hashes.
 END = np.uint64(0x5EED0FE2D0000001)
 _U = np.uint64
@@ -470,7 +470,7 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(folder, order)
-        for held, hashes, rows in token_blocks(batches, 1):
+        for held, hashes, rows in token_blocks(batches, 1, BLOCK_WORDS // 2):
             counts, base, score = model.log_probs(hashes, rows, borders)
             n = sum(h.num_rows for h in held)
             yield pa.RecordBatch.from_arrays(
