@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import schemas
+from graphloom.session import ship
 
 #: ASCII punctuation (fixed value).
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
@@ -87,7 +92,7 @@ def count_tokens(text: Column) -> Column:
 
 def fenced(text: Column) -> Column:
     """The body of the first fenced block, if any."""
-    return F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
 
 
 TRIPLETS_JSON = T.StructType([T.StructField("triplets", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object")] + [T.StructField("qualifiers", schemas.QUALIFIERS)] + [T.StructField(n, T.StringType()) for n in ("subject_type", "object_type")])))])
@@ -95,7 +100,7 @@ TRIPLETS_JSON = T.StructType([T.StructField("triplets", T.ArrayType(T.StructType
 
 def extract_json(text: Column) -> Column:
     """The whole text if it is JSON, else a fenced block, else from the first bracket to the last, else the text itself."""
-    valid = lambda x: F.when(F.expr("true") & F.get_json_object(x, "$").isNotNull(), x)
+    valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
     whole = F.trim(text)
     return F.coalesce(valid(whole), valid(F.trim(fenced(text))), valid(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1), F.lit(""))), text)
 
@@ -123,21 +128,30 @@ def chunk_fixed(df: DataFrame, key: str, text: str, size: int = 4, least: int =
 
 
 def chunk_random(df: DataFrame, key: str, text: str, seed: int = 0) -> DataFrame:
-    """Chunks of three to five sentences, their sizes drawn by a hash of key, seed and place, so that no run differs."""
-    held = df.select(key, split_sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
-    size = lambda at: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), at), F.lit(3)) + 3).cast("int")
-    zero = F.array(F.lit(0))
-
-    def step(ends, at):
-        last = F.element_at(ends, -1)
-        left = F.size("s") - last
-        take = F.when(left <= 5, left).otherwise(F.when(left - size(at) < 4, left).otherwise(size(at)))
-        return F.when(left <= 0, ends).otherwise(F.concat(ends, F.array(last + take)))
-
-    ends = F.aggregate(F.sequence(F.lit(1), F.size("s")), zero, step)
-    cut = F.transform(F.sequence(F.lit(2), F.size("e")), lambda i: F.struct(F.element_at("e", i - 1).alias("a"), F.element_at("e", i).alias("b")))
-    rows = held.withColumn("e", ends).withColumn("cut", cut).select(key, "s", F.posexplode("cut").alias("p", "c"))
-    return rows.select(key, (F.col("p") + 1).alias("chunk_id"), F.array_join(F.slice("s", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), " ").alias("chunk"))
+    """Chunks of three to five sentences, their sizes drawn from key and seed, so that no run differs.
+
+    Five sentences or fewer are taken at once, and a rest of under four joins the last chunk.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, numbers, chunks = [], [], []
+            for row, (name, sentences) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                draw, at, n = random.Random(f"{seed}:{name}"), 0, 0
+                while at < len(sentences or []):
+                    left = len(sentences) - at
+                    take = left if left <= 5 else draw.randint(3, 5)
+                    take = left if left - take < 4 else take
+                    n += 1
+                    places.append(row)
+                    numbers.append(n)
+                    chunks.append(" ".join(sentences[at : at + take]))
+                    at += take
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], names=[key, "chunk_id", "chunk"])
+
+    held = df.select(key, split_sentences(F.col(text)).alias("s"))
+    return held.mapInArrow(run, f"`{key}` {held.schema[key].dataType.simpleString()}, chunk_id int, chunk string")
 
 
 #: US dollars for a million tokens in and out (fixed values).

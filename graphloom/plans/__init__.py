@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans.queries import ORACLES, QUERIES
+from graphloom.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 
 def registry():

@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom import schemas
+from graphloom.functions import models, text
+from graphloom.operators import filters, graph, ontology, qa, refine, tables, vector
+from graphloom.plans import oracle
+from graphloom.sources import fixtures, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +27,534 @@ def query(name: str, sql: str | None = None):
         return function
 
     return register
+
+
+def _kg(sql: str) -> str:
+    return f"WITH RECURSIVE {oracle.KG}\n{sql}"
+
+
+PLACES = ["located in country", "part of region"]
+
+
+@query("match_or_in_and", _kg("SELECT subject, relation, object, source_text_id FROM kg WHERE (relation IN ('placed by', 'part of region') AND sample_id = 'ASIA') OR (object_type = 'country' AND subject_type = 'supplier')"))
+def match_or_in_and(spark, sf):
+    where = {"$or": [{"$and": [{"relation": {"$in": ["placed by", "part of region"]}}, {"sample_id": {"$eq": "ASIA"}}]}, {"object_type": "country", "subject_type": "supplier"}]}
+    return filters.match_documents(fixtures.initial_triplets(spark, sf), where, dict.fromkeys(["subject", "relation", "object", "source_text_id"], 1))
+
+
+@query("find_one", _kg("SELECT subject, object, seq FROM kg WHERE relation = 'contains' ORDER BY seq LIMIT 1"))
+def find_one(spark, sf):
+    return filters.find_one(fixtures.initial_triplets(spark, sf), {"relation": "contains"}, ["seq"], {"subject": 1, "object": 1, "seq": 1})
+
+
+@query("count_by_filter", _kg("SELECT count(*) AS n FROM kg WHERE relation = 'contains' AND sample_id IN ('ASIA', 'EUROPE')"))
+def count_by_filter(spark, sf):
+    return filters.count_documents(fixtures.initial_triplets(spark, sf), {"relation": "contains", "sample_id": {"$in": ["ASIA", "EUROPE"]}})
+
+
+@query("distinct_samples", _kg("SELECT DISTINCT sample_id FROM tri WHERE sample_id IS NOT NULL"))
+def distinct_samples(spark, sf):
+    return filters.distinct_values(fixtures.triplets(spark, sf), "sample_id")
+
+
+_KEY = ["subject", "relation", "object", "subject_type", "object_type", "sample_id"]
+
+
+def _batches(spark, sf):
+    """Stored rows (odd order keys) and a batch (everything), so that keys meet within the batch and with the store."""
+    rows = fixtures.initial_triplets(spark, sf).drop("qualifiers").withColumn("exists_already", F.col("seq") % 2 == 1)
+    return tables.first_per_key(rows.where("exists_already"), _KEY, "seq"), rows.where("NOT exists_already")
+
+
+def _upsert_sql(order: str, pick: str) -> str:
+    return _kg(f"""SELECT * EXCLUDE (rn) FROM (SELECT subject, relation, object, subject_type, object_type, sample_id, source_text_id, seq, seq % 2 = 1 AS exists_already, row_number() OVER (
+        PARTITION BY subject, relation, object, subject_type, object_type, sample_id ORDER BY CASE WHEN seq % 2 = 1 THEN {order} END, seq {pick}) AS rn FROM (
+        SELECT *, row_number() OVER (PARTITION BY subject, relation, object, subject_type, object_type, sample_id, seq % 2 ORDER BY seq) AS w FROM kg) WHERE seq % 2 = 0 OR w = 1) WHERE rn = 1""")
+
+
+@query("upsert_first_wins", _upsert_sql("0 ELSE 1", ""))
+def upsert_first_wins(spark, sf):
+    return tables.upsert(*_batches(spark, sf), _KEY, "seq")
+
+
+@query("upsert_last_wins", _upsert_sql("1 ELSE 0", "DESC"))
+def upsert_last_wins(spark, sf):
+    return tables.upsert(*_batches(spark, sf), _KEY, "seq", "last")
+
+
+@query("document_ids", _kg("SELECT subject, substr(sha256('triplets' || chr(1) || '=' || subject || chr(1) || '=' || relation || chr(1) || '=' || object), 1, 32) AS id FROM kg WHERE relation <> 'contains'"))
+def document_ids(spark, sf):
+    rows = fixtures.initial_triplets(spark, sf).where("relation <> 'contains'")
+    return rows.select("subject", tables.document_id("triplets", graph.FACT).alias("id"))
+
+
+@query("delete_sample", _kg("SELECT sample_id, count(*) AS n FROM tri WHERE sample_id IS DISTINCT FROM 'ASIA' GROUP BY 1"))
+def delete_sample(spark, sf):
+    return tables.delete_sample(fixtures.triplets(spark, sf), "ASIA").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("resume_pending", "SELECT source AS sample_id, CAST(doc_id AS VARCHAR) AS source_text_id FROM documents WHERE trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_pending(spark, sf):
+    passages = fixtures.passages(spark, sf)
+    done = passages.join(fixtures.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_text_id")), "source_text_id", "left_semi")
+    return tables.pending_passages(passages, done).select("sample_id", "source_text_id")
+
+
+def _stages(spark, sf):
+    return {"initial_triplets": fixtures.initial_triplets(spark, sf), "triplets": fixtures.triplets(spark, sf), "filtered_triplets": fixtures.filtered_triplets(spark, sf), "ontology_filtered_triplets": fixtures.ontology_filtered_triplets(spark, sf)}
+
+
+@query("dump_counts", _kg("""SELECT sample_id, source_text_id, count(*) AS initial_triplets, count(*) FILTER (WHERE NOT returned) AS triplets,
+    count(*) FILTER (WHERE relation = 'placed by' AND qualifiers[2].object = 'P') AS filtered_triplets, count(*) FILTER (WHERE returned) AS ontology_filtered_triplets FROM kg GROUP BY 1, 2"""))
+def dump_counts(spark, sf):
+    return tables.dump_counts(_stages(spark, sf))
+
+
+@query("dump_kg")
+def dump_kg(spark, sf):
+    return tables.dump(_stages(spark, sf))
+
+
+@query("sample_slice", "WITH f AS (SELECT source, min(doc_id) AS d FROM documents GROUP BY 1 ORDER BY d, source LIMIT 5 OFFSET 2) SELECT source AS sample_id, CAST(doc_id AS VARCHAR) AS source_text_id FROM documents JOIN f USING (source)")
+def sample_slice(spark, sf):
+    rows = fixtures.passages(spark, sf).withColumn("place", F.col("source_text_id").cast("long"))
+    return readers.sample_slice(rows, "place", 2, 5).select("sample_id", "source_text_id")
+
+
+# Vectors
+
+_TOP = "WITH {vec}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc {where}) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10"
+
+
+def _vectors(spark, sf):
+    table = fixtures.vector_aliases(spark, sf)
+    return table.where("vec_id < 20").withColumnRenamed("alias_text_embedding", "qv"), table
+
+
+def _top(spark, sf, **more):
+    queries, table = _vectors(spark, sf)
+    found = vector.batch_top_k(queries, table, 10, "vec_id", "qv", "vec_id", "alias_text_embedding", **more)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("vector_topk", _TOP.format(vec=oracle.VEC, where=""))
+def vector_topk(spark, sf):
+    return _top(spark, sf)
+
+
+@query("vector_topk_filtered", _TOP.format(vec=oracle.VEC, where="WHERE sample_id = q_sample"))
+def vector_topk_filtered(spark, sf):
+    return _top(spark, sf, match=("sample_id", "sample_id"))
+
+
+@query("vector_topk_dot", _TOP.format(vec=oracle.VEC.replace("list_cosine_similarity", "list_inner_product"), where=""))
+def vector_topk_dot(spark, sf):
+    return _top(spark, sf, metric="dot")
+
+
+def _one_vector(spark, sf):
+    return fixtures.table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+@query("vector_search_one", f"WITH {oracle.VEC} SELECT vec_id, alias, label, round(score, 6) AS score FROM (SELECT a.*, s.score FROM sc s JOIN va a USING (vec_id) WHERE query_id = 0 AND a.entity_type = 'even' ORDER BY s.score DESC, vec_id LIMIT 15)")
+def vector_search_one(spark, sf):
+    search = vector.VectorQuery(_one_vector(spark, sf), 15, filters={"entity_type": "even"}, projection={"vec_id": 1, "alias": 1, "label": 1})
+    return vector.vector_search(fixtures.vector_aliases(spark, sf), search, "vec_id", dims=64).withColumn("score", F.round("score", 6))
+
+
+def _distinct_sql(n: int, k: int) -> str:
+    return f"""WITH {oracle.VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc),
+    d AS (SELECT query_id, label, min(rank) AS first_rank, max(score) AS score FROM r WHERE rank <= {n} GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS place FROM d)
+    SELECT query_id, label, CAST(first_rank AS INTEGER) AS first_rank, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM p WHERE place <= {k}"""
+
+
+def _distinct(spark, sf, kind: str, k: int):
+    queries, table = _vectors(spark, sf)
+    found = vector.batch_top_k(queries, table, vector.prefix_length(k, kind), "vec_id", "qv", "vec_id", "alias_text_embedding", ["label"])
+    return vector.distinct_top_k(found, "label", k).withColumn("score", F.round("score", 6))
+
+
+@query("distinct_topk_labels", _distinct_sql(vector.prefix_length(5, "types"), 5))
+def distinct_topk_labels(spark, sf):
+    return _distinct(spark, sf, "types", 5)
+
+
+@query("distinct_topk_capped", _distinct_sql(vector.prefix_length(10, "dynamic"), 10))
+def distinct_topk_capped(spark, sf):
+    return _distinct(spark, sf, "dynamic", 10)
+
+
+@query("cosine_fallback", f"WITH {oracle.VEC} SELECT label, round(max(score), 6) AS score FROM sc WHERE query_id = 0 GROUP BY 1 ORDER BY max(score) DESC, label LIMIT 7")
+def cosine_fallback(spark, sf):
+    return vector.cosine_fallback(fixtures.vector_aliases(spark, sf), _one_vector(spark, sf), "label", "alias_text_embedding", 7).withColumn("score", F.round("score", 6))
+
+
+@query("entity_by_type", _TOP.format(vec=oracle.VEC, where="WHERE sample_id = q_sample AND entity_type = q_type"))
+def entity_by_type(spark, sf):
+    both = F.concat_ws("/", "sample_id", "entity_type")
+    queries, table = (t.withColumn("scope", both) for t in _vectors(spark, sf))
+    found = vector.batch_top_k(queries, table, 10, "vec_id", "qv", "vec_id", "alias_text_embedding", match=("scope", "scope"))
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+# Ontology
+
+
+def _onto(sql: str) -> str:
+    return f"WITH RECURSIVE {oracle.ONTOLOGY}\n{sql}"
+
+
+@query("valid_properties_by_type", _onto("SELECT entity_type_id, CASE WHEN subj THEN 'subject' ELSE 'object' END AS side, property_id FROM vp"))
+def valid_properties_by_type(spark, sf):
+    valid = ontology.valid_properties(fixtures.ontology(spark)[0])
+    return valid.select("entity_type_id", F.lit("subject").alias("side"), F.explode("as_subject").alias("property_id")).union(valid.select("entity_type_id", F.lit("object"), F.explode("as_object")))
+
+
+@query("candidate_properties_directed", _kg(f"""SELECT * FROM (WITH {oracle.ONTOLOGY}, p AS (SELECT DISTINCT s.entity_type_id AS subject_type, o.entity_type_id AS object_type FROM kg JOIN ty s ON s.label = kg.subject_type JOIN ty o ON o.label = kg.object_type)
+    SELECT p.*, a.property_id, 'direct' AS direction FROM p JOIN vp a ON a.entity_type_id = p.subject_type AND a.subj JOIN vp b ON b.entity_type_id = p.object_type AND NOT b.subj AND a.property_id = b.property_id
+    UNION ALL SELECT p.*, a.property_id, 'inverse' FROM p JOIN vp a ON a.entity_type_id = p.object_type AND a.subj JOIN vp b ON b.entity_type_id = p.subject_type AND NOT b.subj AND a.property_id = b.property_id)"""))
+def candidate_properties_directed(spark, sf):
+    types, _ = fixtures.ontology(spark)
+    ids = types.select("label", "entity_type_id")
+    pairs = fixtures.initial_triplets(spark, sf).select("subject_type", "object_type").distinct()
+    pairs = pairs.join(ids.withColumnsRenamed({"label": "subject_type", "entity_type_id": "s"}), "subject_type").join(ids.withColumnsRenamed({"label": "object_type", "entity_type_id": "o"}), "object_type")
+    return ontology.candidate_properties(pairs.select(F.col("s").alias("subject_type"), F.col("o").alias("object_type")), ontology.valid_properties(types))
+
+
+@query("type_hierarchy", _onto("SELECT DISTINCT label, entity_type_id, a AS ancestor_id FROM (SELECT label, entity_type_id, unnest(list_concat([entity_type_id], parent_type_ids)) AS a FROM ty) WHERE a IN (SELECT entity_type_id FROM ty)"))
+def type_hierarchy(spark, sf):
+    return ontology.type_hierarchy(fixtures.ontology(spark)[0])
+
+
+@query("subclass_closure", f"WITH RECURSIVE {oracle.EDGES}, n AS (SELECT child AS x FROM ed UNION SELECT parent FROM ed), c AS (SELECT x AS child, x AS ancestor FROM n UNION SELECT c.child, ed.parent FROM c JOIN ed ON c.ancestor = ed.child) SELECT * FROM c")
+def subclass_closure(spark, sf):
+    return ontology.transitive_closure(spark.createDataFrame(fixtures.SUBCLASS_EDGES, "child string, parent string"))
+
+
+def _backbones(spark, sf):
+    """Facts with ids of types and relation; returned lines lose their relation, failed orders their subject type."""
+    types, properties = fixtures.ontology(spark)
+    ids = types.select("label", "entity_type_id")
+    rows = fixtures.initial_triplets(spark, sf).withColumn("odd", F.col("seq") % 7)
+    rows = rows.withColumns({"subject_type": F.when(F.col("odd") == 1, "unheard of").otherwise(F.col("subject_type")), "relation": F.when(F.col("odd").isin(1, 2), "unheard of").when(F.col("odd") == 3, "part of region").otherwise(F.col("relation"))})
+    rows = rows.join(F.broadcast(properties.withColumnRenamed("label", "relation")), "relation", "left")
+    up = ontology.type_hierarchy(types).groupBy("entity_type_id", "label").agg(F.collect_set("ancestor_id").alias("up"))
+    for side in ("subject", "object"):
+        rows = rows.join(F.broadcast(up.select(F.col("label").alias(f"{side}_type"), F.col("entity_type_id").alias(f"{side}_type_id"), F.col("up").alias(f"{side}_ancestors"))), f"{side}_type", "left")
+    return rows
+
+
+@query("validate_backbone", _kg(f"""SELECT * FROM (WITH {oracle.ONTOLOGY}, b AS (SELECT source_text_id, seq, object_type, CASE WHEN seq % 7 = 1 THEN 'unheard of' ELSE subject_type END AS subject_type,
+    CASE WHEN seq % 7 IN (1, 2) THEN 'unheard of' WHEN seq % 7 = 3 THEN 'part of region' ELSE relation END AS relation FROM kg),
+    j AS (SELECT b.source_text_id, s.entity_type_id AS s, o.entity_type_id AS o, pr.property_id AS p, coalesce(pr.ss = ['ANY'] OR list_has_any(pr.ss, s.parent_type_ids), false) AS sok, coalesce(pr.oo = ['ANY'] OR list_has_any(pr.oo, o.parent_type_ids), false) AS ook
+      FROM b LEFT JOIN ty s ON s.label = b.subject_type LEFT JOIN ty o ON o.label = b.object_type LEFT JOIN pr ON pr.label = b.relation),
+    m AS (SELECT *, concat_ws(chr(10), CASE WHEN s IS NULL THEN 'subject type is not in the ontology' END, CASE WHEN o IS NULL THEN 'object type is not in the ontology' END, CASE WHEN p IS NULL THEN 'relation is not in the ontology' END) AS missing,
+      concat_ws(chr(10), CASE WHEN NOT sok THEN 'subject type violates the constraint' END, CASE WHEN NOT ook THEN 'object type violates the constraint' END) AS broken FROM j)
+    SELECT source_text_id, CASE WHEN missing <> '' THEN missing ELSE broken END AS exception_text, missing = '' AND broken = '' AS valid FROM m)"""))
+def validate_backbone(spark, sf):
+    return ontology.validate_backbone(_backbones(spark, sf)).select("source_text_id", "exception_text", "valid")
+
+
+@query("orient_inverse", _kg("SELECT source_text_id, CASE WHEN relation = 'placed by' THEN object ELSE subject END AS subject, CASE WHEN relation = 'placed by' THEN subject ELSE object END AS object, CASE WHEN relation = 'placed by' THEN object_type ELSE subject_type END AS subject_type FROM kg"))
+def orient_inverse(spark, sf):
+    rows = fixtures.initial_triplets(spark, sf).withColumn("direction", F.when(F.col("relation") == "placed by", "inverse").otherwise("direct"))
+    return ontology.orient(rows).select("source_text_id", "subject", "object", "subject_type")
+
+
+@query("invert_constraints", _onto("SELECT ty AS entity_type_id, array_to_string(list_sort(list(DISTINCT property_id)), ',') AS property_ids FROM inv WHERE NOT subj GROUP BY 1"))
+def invert_constraints(spark, sf):
+    return ontology.invert_constraints(fixtures.ontology(spark)[1], "valid_object_type_ids").withColumn("property_ids", F.array_join("property_ids", ","))
+
+
+@query("constraint_defaults", _onto("SELECT property_id, CASE WHEN property_id = 'P6' THEN array_to_string(list_append(ss, 'Q186408'), ',') WHEN len(ss) = 0 THEN 'ANY' ELSE array_to_string(ss, ',') END AS types FROM pr"))
+def constraint_defaults(spark, sf):
+    bucket = F.when(F.col("property_id") == "P6", ontology.data_type_bucket(F.lit("http://wikiba.se/ontology#Time"))).otherwise(ontology.data_type_bucket(F.lit("http://wikiba.se/ontology#WikibaseItem")))
+    return fixtures.ontology(spark)[1].select("property_id", F.array_join(ontology.constraint_defaults(F.col("valid_subject_type_ids"), bucket), ",").alias("types"))
+
+
+@query("ontology_types_assembly", _onto("""SELECT t.entity_type_id, t.label, array_to_string(t.parent_type_ids, ',') AS parents, coalesce(string_agg(DISTINCT i.property_id, ',' ORDER BY i.property_id) FILTER (WHERE i.subj), '') AS as_subject,
+    coalesce(string_agg(DISTINCT i.property_id, ',' ORDER BY i.property_id) FILTER (WHERE NOT i.subj), '') AS as_object FROM ty t LEFT JOIN inv i ON i.ty = t.entity_type_id GROUP BY 1, 2, 3"""))
+def ontology_types_assembly(spark, sf):
+    types, _ = fixtures.ontology(spark)
+    return types.select("entity_type_id", "label", F.array_join("parent_type_ids", ",").alias("parents"), F.array_join("valid_subject_property_ids", ",").alias("as_subject"), F.array_join("valid_object_property_ids", ",").alias("as_object"))
+
+
+@query("alias_rows", "SELECT DISTINCT p_brand AS brand, p_brand AS alias_label FROM part UNION ALL SELECT p_brand, p_name FROM part")
+def alias_rows(spark, sf):
+    parts = fixtures.table(spark, sf, "part")
+    labels = parts.select(F.col("p_brand").alias("brand"), F.col("p_brand").alias("label")).distinct()
+    return ontology.build_alias_rows(labels, parts.groupBy(F.col("p_brand").alias("brand")).agg(F.collect_list("p_name").alias("aliases")), "brand")
+
+
+@query("label_disambiguation", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_name || ' (' || p_brand || ')' ELSE p_name END AS label FROM part")
+def label_disambiguation(spark, sf):
+    parts = fixtures.table(spark, sf, "part")
+    return ontology.disambiguate_labels(parts.select("p_partkey", F.col("p_name").alias("label")), parts.select("p_partkey", F.col("p_brand").alias("description")), "p_partkey")
+
+
+@query("constrained_entities", _onto("SELECT DISTINCT t AS entity_type_id FROM (SELECT unnest(list_concat(ss, oo)) AS t FROM pr) WHERE t <> 'ANY'"))
+def constrained_entities(spark, sf):
+    return ontology.constrained_entities(fixtures.ontology(spark)[1])
+
+
+@query("constraint_summary", _onto("SELECT count(*) AS properties, count(*) FILTER (WHERE ss = ['ANY'] AND oo = ['ANY']) AS unconstrained, count(DISTINCT label) AS labels FROM pr"))
+def constraint_summary(spark, sf):
+    return ontology.constraint_summary(fixtures.ontology(spark)[1])
+
+
+# Graph
+
+SEED = "Customer#000000001"
+
+
+def _seeds(spark):
+    return spark.createDataFrame([(SEED,)], "name string")
+
+
+@query("one_hop", _kg(f"SELECT subject, relation, object, source_text_id FROM tri WHERE subject = '{SEED}' OR object = '{SEED}'"))
+def one_hop(spark, sf):
+    return graph.one_hop(fixtures.triplets(spark, sf), _seeds(spark)).select(*graph.FACT, "source_text_id")
+
+
+@query("one_hop_with_filtered", _kg("SELECT subject, relation, object, source_text_id, returned FROM kg WHERE subject IN ('Order#1', 'Part#1') OR object IN ('Order#1', 'Part#1')"))
+def one_hop_with_filtered(spark, sf):
+    seeds = spark.createDataFrame([("Order#1",), ("Part#1",)], "name string")
+    rows = graph.one_hop(fixtures.triplets(spark, sf), seeds, filtered=fixtures.ontology_filtered_triplets(spark, sf))
+    return rows.select(*graph.FACT, "source_text_id", F.col("exception_text").isNotNull().alias("returned"))
+
+
+_HOPS = f"""SELECT * FROM (WITH h1 AS (SELECT * FROM tri WHERE subject = '{SEED}' OR object = '{SEED}'), n1 AS (SELECT subject AS n FROM h1 UNION SELECT object FROM h1 {{more}})
+SELECT DISTINCT subject, relation, object, source_text_id FROM tri WHERE subject IN (FROM n1) OR object IN (FROM n1))"""
+
+
+@query("k_hop_subgraph", _kg(_HOPS.format(more="")))
+def k_hop_subgraph(spark, sf):
+    return graph.k_hop(fixtures.triplets(spark, sf), _seeds(spark), 2)
+
+
+@query("k_hop_with_qualifiers", _kg(_HOPS.format(more="UNION SELECT unnest(list_transform(qualifiers, lambda q: q.object)) FROM h1")))
+def k_hop_with_qualifiers(spark, sf):
+    return graph.k_hop(fixtures.triplets(spark, sf), _seeds(spark), 2, qualifiers=True).select(*graph.FACT, "source_text_id").distinct()
+
+
+_STATS = """p AS (SELECT DISTINCT {g} subject, object FROM tri), nd AS (SELECT DISTINCT * FROM (SELECT {g} subject AS node FROM p UNION ALL SELECT {g} object FROM p)),
+u AS (SELECT DISTINCT {g} subject AS a, object AS b FROM p WHERE subject <> object UNION SELECT {g} object, subject FROM p WHERE subject <> object),
+deg AS (SELECT {g} a AS node, count(*) AS d FROM u GROUP BY ALL),
+tr AS (SELECT {x} x.a AS node, count(*) AS t FROM u x JOIN u y ON {xy} x.a = y.a AND x.b < y.b JOIN u z ON {xz} z.a = x.b AND z.b = y.b GROUP BY ALL),
+cl AS (SELECT {n} CASE WHEN coalesce(d, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (d * (d - 1)) END AS c FROM nd {jd} {jt})"""
+
+
+@query("graph_global_stats", _kg(", " + _STATS.format(g="", x="", xy="", xz="", n="", jd="LEFT JOIN deg USING (node)", jt="LEFT JOIN tr USING (node)") + """
+SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM p) AS edges, round(2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM nd), 9) AS mean_degree, (SELECT round(avg(c), 9) FROM cl) AS clustering"""))
+def graph_global_stats(spark, sf):
+    edges = fixtures.triplets(spark, sf)
+    size = graph.graph_size(edges)
+    return size.join(graph.local_clustering(edges).agg(F.round(F.avg("clustering"), 9).alias("clustering")), F.lit(True)).withColumn("mean_degree", F.round("mean_degree", 9))
+
+
+@query("graph_per_sample_stats", _kg(", " + _STATS.format(g="sample_id,", x="x.sample_id,", xy="x.sample_id = y.sample_id AND", xz="z.sample_id = x.sample_id AND", n="sample_id,", jd="LEFT JOIN deg USING (sample_id, node)", jt="LEFT JOIN tr USING (sample_id, node)") + """
+SELECT sample_id, nodes, edges, round(2.0 * edges / nodes, 9) AS mean_degree, clustering FROM (SELECT sample_id, count(*) AS nodes FROM nd GROUP BY 1) JOIN (SELECT sample_id, count(*) AS edges FROM p GROUP BY 1) USING (sample_id)
+JOIN (SELECT sample_id, round(avg(c), 9) AS clustering FROM cl GROUP BY 1) USING (sample_id)"""))
+def graph_per_sample_stats(spark, sf):
+    edges = fixtures.triplets(spark, sf)
+    clustering = graph.local_clustering(edges, ["sample_id"]).groupBy("sample_id").agg(F.round(F.avg("clustering"), 9).alias("clustering"))
+    return graph.graph_size(edges, ["sample_id"]).join(clustering, "sample_id").withColumn("mean_degree", F.round("mean_degree", 9))
+
+
+@query("largest_component")
+def largest_component(spark, sf):
+    return graph.largest_component(fixtures.triplets(spark, sf))
+
+
+@query("per_sample_components", _kg(f"""SELECT sample_id, max(n) AS largest_component FROM (SELECT sample_id, count(*) AS n FROM (
+    SELECT DISTINCT sample_id, subject AS node FROM kg WHERE relation IN ('{PLACES[0]}', '{PLACES[1]}') UNION SELECT DISTINCT sample_id, object FROM kg WHERE relation IN ('{PLACES[0]}', '{PLACES[1]}')) GROUP BY 1) GROUP BY 1"""))
+def per_sample_components(spark, sf):
+    """Places of one region hang together, so each sample is one component of them."""
+    return graph.sample_components(fixtures.initial_triplets(spark, sf).where(F.col("relation").isin(PLACES)))
+
+
+@query("last_relation", _kg("SELECT subject, object, arg_max(relation, seq) AS relation FROM kg GROUP BY 1, 2"))
+def last_relation(spark, sf):
+    return graph.last_relation(fixtures.initial_triplets(spark, sf))
+
+
+_ST = "'st:' || source_text_id"
+
+
+@query("reified_nodes", _kg(f"""SELECT 'e:' || n AS id, CASE WHEN length(n) > 72 THEN n[1:72] || '…' ELSE n END AS label, 'entity' AS kind FROM (SELECT subject AS n FROM tri UNION SELECT object FROM tri UNION SELECT unnest(list_transform(qualifiers, lambda q: q.object)) FROM tri)
+    UNION ALL SELECT DISTINCT {_ST}, relation, 'statement' FROM tri WHERE len(qualifiers) > 0"""))
+def reified_nodes(spark, sf):
+    return graph.reified_nodes(fixtures.triplets(spark, sf))
+
+
+@query("reified_edges", _kg(f"""SELECT DISTINCT * FROM (SELECT 'e:' || subject AS source, 'e:' || object AS target, relation AS label FROM tri WHERE len(qualifiers) = 0 UNION ALL SELECT 'e:' || subject, {_ST}, 'subject of' FROM tri WHERE len(qualifiers) > 0
+    UNION ALL SELECT {_ST}, 'e:' || object, relation FROM tri WHERE len(qualifiers) > 0 UNION ALL SELECT {_ST}, 'e:' || q.object, q.relation FROM (SELECT source_text_id, unnest(qualifiers) AS q FROM tri))"""))
+def reified_edges(spark, sf):
+    return graph.reified_edges(fixtures.triplets(spark, sf))
+
+
+@query("plain_graph", _kg("SELECT DISTINCT subject, object, relation FROM tri WHERE NOT contains(subject, '99') AND NOT contains(object, '99')"))
+def plain_graph(spark, sf):
+    return graph.plain_graph(fixtures.triplets(spark, sf), "99")
+
+
+@query("incident_edges", _kg("SELECT subject, relation, object FROM tri WHERE subject = 'FRANCE' OR object = 'FRANCE'"))
+def incident_edges(spark, sf):
+    return graph.incident(fixtures.triplets(spark, sf), "FRANCE").select(*graph.FACT)
+
+
+@query("two_hop_paths", _kg("SELECT a.subject || ' -> placed by -> ' || a.object || ' -> located in country -> ' || b.object AS path FROM (SELECT DISTINCT subject, object FROM tri WHERE relation = 'placed by') a JOIN (SELECT DISTINCT subject, object FROM tri WHERE relation = 'located in country') b ON a.object = b.subject"))
+def two_hop_paths(spark, sf):
+    rows = fixtures.triplets(spark, sf)
+    return graph.two_hop_paths(rows.where("relation = 'placed by'"), rows.where("relation = 'located in country'"))
+
+
+@query("path_tokens", _kg("SELECT path, CAST(i - 1 AS INTEGER) AS pos, t[i] AS token, i % 2 = 0 AS is_relation FROM (SELECT path, string_split(path, ' -> ') AS t, unnest([1, 2, 3, 4, 5]) AS i FROM (SELECT DISTINCT subject || ' -> ' || relation || ' -> ' || object || ' -> part of region -> ' || sample_id AS path FROM tri WHERE relation = 'located in country'))"))
+def path_tokens(spark, sf):
+    rows = fixtures.triplets(spark, sf)
+    return graph.path_tokens(graph.two_hop_paths(rows.where("relation = 'located in country'"), rows.where("relation = 'part of region'")))
+
+
+@query("alias_resolution", _kg("SELECT DISTINCT t.subject, t.relation, coalesce(p.p_name, t.object) AS object FROM tri t LEFT JOIN part p ON t.object = 'Part#' || p.p_partkey"))
+def alias_resolution(spark, sf):
+    return graph.resolve_aliases(fixtures.triplets(spark, sf), fixtures.part_aliases(spark, sf).select("alias", F.col("label").alias("canonical")))
+
+
+@query("alias_statistics", "SELECT count(*) AS aliases, count(DISTINCT p_name) AS labels, CAST(count(*) AS DOUBLE) / count(DISTINCT p_name) AS aliases_per_label FROM part")
+def alias_statistics(spark, sf):
+    return graph.alias_statistics(fixtures.part_aliases(spark, sf))
+
+
+# Text
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '(\d)[,.](\d)', '\1\2', 'g'), '(\d)[,.](\d)', '\1\2', 'g'), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("qa_normalize", f"SELECT conv_id, turn, {_NORM.format(x='text')} AS normalized FROM conversations")
+def qa_normalize(spark, sf):
+    return fixtures.table(spark, sf, "conversations").select("conv_id", "turn", text.normalize(F.col("text"), transliterate=False).alias("normalized"))
+
+
+def _answers(spark, sf):
+    rows = fixtures.table(spark, sf, "part")
+    return rows.select("p_partkey", F.col("p_name").alias("answer"), F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), 1)).alias("truth"))
+
+
+_PAIR = f"(SELECT p_partkey, string_split({_NORM.format(x='p_name')}, ' ') AS a, string_split({_NORM.format(x='''(p_type || ' ' || string_split(p_name, ' ')[1])''')}, ' ') AS b FROM part)"
+
+
+@query("qa_exact_match", f"SELECT p_partkey, CAST(a = b AS INTEGER) AS exact FROM {_PAIR}")
+def qa_exact_match(spark, sf):
+    return _answers(spark, sf).select("p_partkey", text.exact_match(F.col("answer"), F.col("truth")).alias("exact"))
+
+
+@query("qa_token_f1", f"SELECT p_partkey, round(2.0 * list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) / (len(a) + len(b)), 9) AS f1 FROM {_PAIR}")
+def qa_token_f1(spark, sf):
+    return _answers(spark, sf).select("p_partkey", F.round(text.token_f1(F.col("answer"), F.col("truth")), 9).alias("f1"))
+
+
+@query("extract_json_shape", "SELECT event_id, json_valid(props) AS has_json FROM events")
+def extract_json_shape(spark, sf):
+    """Payloads as a model might wrap them: plain, fenced, or amid prose."""
+    rows = fixtures.table(spark, sf, "events")
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")))
+    return rows.select("event_id", (text.extract_json(wrapped) == F.col("props")).alias("has_json"))
+
+
+_VERB = "concat_ws(', ', subject, relation, object) || CASE WHEN len(qualifiers) > 0 THEN ' | ' || array_to_string(list_transform(qualifiers, lambda q: q.relation || ': ' || q.object), ', ') ELSE '' END"
+
+
+@query("verbalize_triplets", _kg(f"SELECT source_text_id, {_VERB} AS text FROM tri"))
+def verbalize_triplets(spark, sf):
+    return fixtures.triplets(spark, sf).select("source_text_id", text.verbalize().alias("text"))
+
+
+_TOKENS = r"len(regexp_extract_all({x}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'))"
+
+
+@query("compression_stats", _kg(f"""SELECT sample_id, source_tokens, triplet_tokens, round(triplet_tokens / source_tokens, 9) AS ratio, round((1 - triplet_tokens / source_tokens) * 100, 9) AS savings_percent FROM (
+    SELECT sample_id, CAST(sum({_TOKENS.format(x=_VERB)}) AS BIGINT) AS source_tokens, CAST(sum({_TOKENS.format(x="concat_ws(', ', subject, relation, object)")}) AS BIGINT) AS triplet_tokens FROM tri GROUP BY 1)"""))
+def compression_stats(spark, sf):
+    rows = fixtures.triplets(spark, sf).select("sample_id", text.count_tokens(text.verbalize()).alias("s"), text.count_tokens(text.verbalize(qualifiers=None)).alias("t"))
+    sums = rows.groupBy("sample_id").agg(F.sum("s").alias("source_tokens"), F.sum("t").alias("triplet_tokens"))
+    return sums.withColumns({k: F.round(v, 9) for k, v in text.compression(F.col("source_tokens"), F.col("triplet_tokens")).items()})
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))"
+
+
+@query("cost_by_model", f"""SELECT m AS model, p AS prompt_tokens, c AS completion_tokens, round((c * coalesce(b, 0) + p * coalesce(a, 0)) / 1e6, 9) AS cost FROM (
+    SELECT ['gpt-4o-mini', 'gpt-4.1', 'gpt-4o', 'unknown-model'][conv_id % 4 + 1] AS m, CAST(sum(CASE WHEN role = 'user' THEN {_WORDS} ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE {_WORDS} END) AS BIGINT) AS c FROM conversations GROUP BY 1)
+    LEFT JOIN (VALUES {", ".join(f"('{m}', {a}, {b})" for m, (a, b) in text.PRICES.items())}) t(n, a, b) ON m = n""")
+def cost_by_model(spark, sf):
+    return text.cost_by_model(fixtures.usage_log(spark, sf))
+
+
+@query("chunk_fixed")
+def chunk_fixed(spark, sf):
+    return text.chunk_fixed(fixtures.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("chunk_random")
+def chunk_random(spark, sf):
+    return text.chunk_random(fixtures.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("page_paragraphs")
+def page_paragraphs(spark, sf):
+    return readers.page_paragraphs(fixtures.table(spark, sf, "pages"))
+
+
+@query("alias_cjk_filter", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')")
+def alias_cjk_filter(spark, sf):
+    return ontology.without_cjk(fixtures.table(spark, sf, "documents"), "text").select("doc_id")
+
+
+@query("top_relations", _kg("SELECT relation, count(*) AS n FROM kg GROUP BY 1 ORDER BY n DESC, relation LIMIT 3"))
+def top_relations(spark, sf):
+    return tables.top_counts(fixtures.initial_triplets(spark, sf), "relation", 3)
+
+
+# Model-backed, with the stand-ins
+
+
+def _ontology_with_aliases(spark):
+    types, properties = fixtures.ontology(spark)
+    embedder = models.HashEmbedder()
+    with_vectors = lambda df, key: df.select(F.col(key), F.col("label").alias("alias_label")).join(refine.embedded(df.select(F.col("label").alias("alias_label")), "alias_label", embedder, "alias_text_embedding"), "alias_label")
+    type_aliases = with_vectors(types, "entity_type_id")
+    property_aliases = with_vectors(properties.withColumnRenamed("property_id", "relation_id"), "relation_id")
+    return refine.Ontology(types, type_aliases, properties, property_aliases, embedder)
+
+
+@query("refine_types_exact", _kg("SELECT source_text_id, subject_type, object_type FROM kg WHERE relation <> 'contains'"))
+def refine_types_exact(spark, sf):
+    facts = fixtures.initial_triplets(spark, sf).where("relation <> 'contains'")
+    return refine.refine_types(facts, _ontology_with_aliases(spark)).select("source_text_id", "subject_type", "object_type")
+
+
+def _order_passages(spark, sf):
+    rows = fixtures.initial_triplets(spark, sf).where("relation = 'placed by'")
+    return rows.select("sample_id", "source_text_id", F.concat_ws(" ", "subject", "relation", "object").alias("text"))
+
+
+@query("ingest_structured", _kg("SELECT source_text_id, subject, relation, object, subject_type, object_type FROM kg WHERE relation = 'placed by'"))
+def ingest_structured(spark, sf):
+    """Orders put in words, extracted again, typed, validated and routed; all of them are valid. Names are taken as they stand."""
+    exact = models.SimilarityChooser(least=0.9999)
+    onto = _ontology_with_aliases(spark)
+    onto.chooser = exact
+    aliases = spark.createDataFrame([], schemas.SCHEMAS["entity_aliases"])
+    routed = refine.ingest_structured(_order_passages(spark, sf), models.PatternExtractor(), onto, aliases)
+    return routed["triplets"].select("source_text_id", *graph.FACT, "subject_type", "object_type")
+
+
+@query("qa_end_to_end")
+def qa_end_to_end(spark, sf):
+    """In which region does each nation lie? Linked, expanded and answered by the stand-ins."""
+    edges = fixtures.initial_triplets(spark, sf).where("relation = 'part of region'")
+    names = refine.embedded(edges.select(F.col("subject").alias("name")), "name", models.HashEmbedder())
+    questions = edges.select(F.col("source_text_id").alias("question_id"), F.concat(F.lit("which region is "), "subject", F.lit(" part of")).alias("question"))
+    return qa.answer_questions(questions, edges, names, models.OverlapAnswerer(), depth=1)[1]

@@ -12,17 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _facts(rows: DataFrame, rank: int, relation: str, subject, object_, types: tuple[str, str], source, order, qualifiers=None) -> DataFrame:
+def _facts(rows: DataFrame, rank: int, relation: str, subject, object_, types: tuple[str, str], source, order, qualifiers=None, returned=None) -> DataFrame:
     none = F.array().cast(schemas.QUALIFIERS)
     return rows.select(
         subject.alias("subject"), F.lit(relation).alias("relation"), object_.alias("object"), F.lit(types[0]).alias("subject_type"), F.lit(types[1]).alias("object_type"),
         (F.array(*[F.struct(F.lit(k).alias("relation"), v.alias("object")) for k, v in qualifiers.items()]) if qualifiers else none).alias("qualifiers"),
-        F.col("r_name").alias("sample_id"), source.alias("source_text_id"), (F.lit(rank * 10**15) + order).alias("seq"),
+        F.col("r_name").alias("sample_id"), source.alias("source_text_id"), (F.lit(rank * 10**15) + order).alias("seq"), (F.lit(False) if returned is None else returned).alias("returned"),
     )
 
 
-def initial_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of customers, suppliers, nations, orders and order lines; the sample is the region, seq the order of arrival."""
+def _all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of customers, suppliers, nations, orders and order lines; the sample is the region, seq the order of arrival, and
+    ``returned`` marks order lines that came back."""
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
     nation = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     customer = t["customer"].join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -39,22 +40,21 @@ def initial_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(_facts(supplier, 2, located, F.col("s_name"), F.col("n_name"), ("supplier", "country"), text("supplier:", "s_suppkey"), F.col("s_suppkey")))
         .unionByName(_facts(nation, 3, "part of region", F.col("n_name"), F.col("r_name"), ("country", "region"), text("nation:", "n_nationkey"), F.col("n_nationkey").cast("long")))
         .unionByName(_facts(orders, 4, "placed by", text("Order#", "o_orderkey"), F.col("c_name"), ("order", "customer"), text("orders:", "o_orderkey"), F.col("o_orderkey"), {"point in time": F.date_format("o_orderdate", "yyyy-MM-dd"), "status": F.col("o_orderstatus")}))
-        .unionByName(_facts(lines, 5, "contains", text("Order#", "l_orderkey"), text("Part#", "l_partkey"), ("order", "part"), text("lineitem:", "l_orderkey", "l_linenumber"), F.col("l_orderkey") * 100 + F.col("l_linenumber"), {"quantity": F.col("l_quantity").cast("long").cast("string")}))
+        .unionByName(_facts(lines, 5, "contains", text("Order#", "l_orderkey"), text("Part#", "l_partkey"), ("order", "part"), text("lineitem:", "l_orderkey", "l_linenumber"), F.col("l_orderkey") * 100 + F.col("l_linenumber"), {"quantity": F.col("l_quantity").cast("long").cast("string")}, F.coalesce(F.col("l_returnflag") == "R", F.lit(False))))
     )
 
 
-def returned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of the order lines that were returned: their facts count as filtered by the ontology."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return lines.select(F.concat(F.lit("lineitem:"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("source_text_id"))
+def initial_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_facts(spark, sf_dir).drop("returned")
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return initial_triplets(spark, sf_dir).join(returned(spark, sf_dir), "source_text_id", "left_anti")
+    return _all_facts(spark, sf_dir).where("NOT returned").drop("returned")
 
 
 def ontology_filtered_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return initial_triplets(spark, sf_dir).join(returned(spark, sf_dir), "source_text_id", "left_semi").withColumn("exception_text", F.lit("returned"))
+    """Facts of returned order lines count as filtered by the ontology."""
+    return _all_facts(spark, sf_dir).where("returned").drop("returned").withColumn("exception_text", F.lit("returned"))
 
 
 def filtered_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
