@@ -7,8 +7,8 @@ pairs far below the threshold; the rest are confirmed on the full sets.
 
 Documents of equal sets are one class from the start, and only classes are compared. In a bucket of the band index every member is
 first paired with the least one, which leaves most buckets with one component and nothing to learn. Buckets that still hold several
-components compare their members in blocks of bounded size, and only pairs that pass the estimate leave a block. No bucket is capped,
-sampled or listed pair by pair.
+components compare their members in blocks of bounded size, confirm what passes the estimate on the full sets there and then, and
+report only links that join two components of the block. No bucket is capped, sampled or listed pair by pair.
 
 Defined results: texts without words have no shingles and link to nothing; null texts count as empty; texts with fewer words than a
 shingle are one shingle; rows with null ids keep a null component and are kept; rows that share an id and differ in text are told apart
@@ -30,7 +30,7 @@ from graphloom.session import cut, stored
 
 WORDS, PERCENT = 5, 75
 #: Registers (buckets of the hash), rows of a band, mantissa bits of a register (six more hold the zeros), and members of a block.
-REGISTERS, ROWS, MANTISSA, BLOCK = 128, 4, 10, 256
+REGISTERS, ROWS, MANTISSA, BLOCK = 128, 4, 10, 512
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which the estimate still lets a pair through to the full sets.
 SLACK = 5.0
@@ -149,14 +149,19 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in ("n", "bands", "filled")]).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. ``docs``: doc_id, text.
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id shares a bucket with one of ``ids``: all that are wanted and few others.
 
-    Only texts whose id shares a bucket with an id of the pairs are shuffled; the buckets are bounded in number, so they may be broadcast.
+    The buckets are bounded in number, so they may be broadcast, and only these texts need to be shuffled later.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("int")
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).select(bucket.alias("_bucket")).distinct())
-    docs = docs.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").select("doc_id", "text")
+    wanted = cut(ids.select(bucket.alias("_bucket")).distinct())
+    return docs.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").select("doc_id", "text")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. ``docs``: doc_id, text."""
+    docs = _texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     sides = [docs.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"]
     joined = pairs.join(sides[1], pairs["b"] == F.col("id_b")).select("a", "b", "text_b").join(sides[0], F.col("a") == F.col("id_a"))
 
@@ -178,50 +183,85 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                sets = shingle_sets(data, offsets)
+                ends = np.cumsum([0, *map(len, sets)])
+                column = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, _U), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.cast(pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
 def _within_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that the estimate lets through.
+    """Links (a, b) between different components of one bucket, enough to join all that its members' links join.
 
-    ``rows``: key, size, class_id, comp, n, bands, filled. A bucket's members are dealt to blocks, and each pair of blocks is one run of
-    rows in some partition; a pair is named only in the first band that its members share.
+    ``rows``: key, size, class_id, comp, n, bands, filled, shingles. A bucket's members are dealt to blocks, and each pair of blocks is
+    one run of rows in some partition; a pair is looked at only in the first band that its members share.
     """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled", "shingles")
     keys = ["key", "i", "j"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
 
-    def compare(t: dict[str, np.ndarray], across: bool) -> tuple[np.ndarray, np.ndarray]:
+    def compare(t: dict[str, np.ndarray], across: bool) -> list[tuple[int, int]]:
         if across:
             left, right = np.flatnonzero(~t["side"]), np.flatnonzero(t["side"])
             x, y = np.repeat(left, len(right)), np.tile(right, len(left))
         else:
             x, y = np.triu_indices(len(t["comp"]), 1)
-        small, large = np.minimum(t["n"][x], t["n"][y]), np.maximum(t["n"][x], t["n"][y])
-        on = (t["comp"][x] != t["comp"][y]) & (100 * small >= PERCENT * large)
-        x, y = x[on], y[on]
-        if not len(x):
-            return x, y
-        same = t["bands"][x] == t["bands"][y]
-        on = t["bands"][x, same.argmax(1)] == t["key"][0]
-        x, y = x[on], y[on]
-        on = passes_estimate(t["bands"][x], t["bands"][y], t["filled"][x], t["filled"][y], t["n"][x], t["n"][y]) if len(x) else np.zeros(0, bool)
-        return t["class_id"][x[on]], t["class_id"][y[on]]
+        found: list[tuple[int, int]] = []
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for at in range(0, len(x), 1 << 15):
+            p, q = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+            on = (t["comp"][p] != t["comp"][q]) & (100 * np.minimum(t["n"][p], t["n"][q]) >= PERCENT * np.maximum(t["n"][p], t["n"][q]))
+            p, q = p[on], q[on]
+            if len(p):
+                same = t["bands"][p] == t["bands"][q]
+                on = t["bands"][p, same.argmax(1)] == t["key"][0]
+                p, q = p[on], q[on]
+            if len(p):
+                on = passes_estimate(t["bands"][p], t["bands"][q], t["filled"][p], t["filled"][q], t["n"][p], t["n"][q])
+                p, q = p[on], q[on]
+            for a, b in zip(p.tolist(), q.tolist()):
+                ca, cb = root(int(t["comp"][a])), root(int(t["comp"][b]))
+                if ca != cb:
+                    u, v = t["shingles"][a], t["shingles"][b]
+                    shared = int(np.count_nonzero(u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v))
+                    if 100 * shared >= PERCENT * (len(u) + len(v) - shared):
+                        parent[max(ca, cb)] = min(ca, cb)
+                        found.append((int(t["class_id"][a]), int(t["class_id"][b])))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "i", "j", "side", "class_id", "comp", "n")
         left: dict[str, np.ndarray] | None = None
 
         def emit(t: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
-            found = [compare({k: v[a:b] for k, v in t.items()}, bool(t["i"][a] != t["j"][a])) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
-            cols = [np.concatenate([np.zeros(0, np.int64), *(f[s] for f in found)]) for s in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
+            found = [link for a, b in zip(bounds, bounds[1:]) if b - a > 1 for link in compare({k: v[a:b] for k, v in t.items()}, bool(t["i"][a] != t["j"][a]))]
+            return pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = {k: np.array(batch.column(i)) for i, k in enumerate(names)} | {k: _longs(batch.column(7 + i)) for i, k in enumerate(("bands", "filled"))}
+            ends, flat = np.array(batch.column(9).value_lengths()).cumsum(), np.array(batch.column(9).flatten()).view(_U)
+            t["shingles"] = np.empty(batch.num_rows, object)
+            t["shingles"][:] = np.split(flat, ends[:-1])
             if left is not None:
                 t = {k: np.concatenate([left[k], v]) for k, v in t.items()}
             new = np.zeros(len(t["key"]), bool)
@@ -255,7 +295,8 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = stored(in_comp.select("class_id", "comp", F.explode("bands").alias("key")).join(leads.where("size > 2").select("key", "size"), "key"), "near-index")
     open_buckets = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
     rows = members.join(open_buckets, "key", "left_semi").select("key", "size", "class_id").join(in_comp, "class_id")
-    second = _confirmed(cut(_within_blocks(rows)), docs)
+    sets = _sets(docs, cut(rows.select(F.col("class_id").alias("doc_id")).distinct()))
+    second = _within_blocks(rows.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"))
     return sketches, classes, cut(first.union(second).distinct())
 
 

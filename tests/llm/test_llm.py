@@ -96,14 +96,16 @@ def test_near_dedup_of_a_chain_in_one_bucket(spark):
 
 
 def test_block_comparison(spark, monkeypatch):
-    """Many members in few blocks: every pair across blocks is compared."""
+    """Many members in few blocks: links across blocks join what they should, and none join what is apart."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    base = " ".join(f"w{i}" for i in range(60))
-    texts = [base.replace(f"w{i} ", f"z{i} ") for i in range(5, 30)]
-    sketches = near_dedup.sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    rows = sketches.select(F.lit(0).cast("long").alias("key"), F.lit(len(texts)).alias("size"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("comp"), "n", F.transform("bands", lambda b: F.lit(0).cast("long")).alias("bands"), "filled")
+    texts = [" ".join(f"g{g}w{i}" for i in range(200)).replace(f"g{g}w{k} ", "z ") for g in range(2) for k in range(5, 18)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.sketch(docs).select(F.lit(0).cast("long").alias("key"), F.lit(len(texts)).alias("size"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("comp"), "n", F.transform("bands", lambda b: F.lit(0).cast("long")).alias("bands"), "filled")
     monkeypatch.setattr(near_dedup, "passes_estimate", lambda a, b, *rest: np.ones(len(a), bool))
-    assert near_dedup._within_blocks(rows).count() == len(texts) * (len(texts) - 1) // 2
+    links = near_dedup._within_blocks(rows.join(near_dedup._sets(docs, docs.select("doc_id")).withColumnRenamed("doc_id", "class_id"), "class_id")).collect()
+    assert all((r.a < 13) == (r.b < 13) for r in links) and len(links) < 13 * 13
+    joined = near_dedup.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "u long, v long"))
+    assert {r.node: r.component for r in joined.collect()} == {i: 13 * (i // 13) for i in range(26)}
 
 
 def test_sketch_estimates():
