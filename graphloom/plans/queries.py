@@ -399,9 +399,9 @@ def plain_graph(spark, sf):
     return graph.plain_graph(fixtures.triplets(spark, sf), "99")
 
 
-@query("incident_edges", _kg("SELECT subject, relation, object FROM tri WHERE subject = 'FRANCE' OR object = 'FRANCE'"))
+@query("incident_edges", _kg("SELECT subject, relation, object FROM tri WHERE subject = 'NATION_3' OR object = 'NATION_3'"))
 def incident_edges(spark, sf):
-    return graph.incident(fixtures.triplets(spark, sf), "FRANCE").select(*graph.FACT)
+    return graph.incident(fixtures.triplets(spark, sf), "NATION_3").select(*graph.FACT)
 
 
 @query("two_hop_paths", _kg("SELECT a.subject || ' -> placed by -> ' || a.object || ' -> located in country -> ' || b.object AS path FROM (SELECT DISTINCT subject, object FROM tri WHERE relation = 'placed by') a JOIN (SELECT DISTINCT subject, object FROM tri WHERE relation = 'located in country') b ON a.object = b.subject"))
