@@ -389,7 +389,7 @@ def train_tagger(sample: list[str], drawn: int = DRAWN, epochs: int = EPOCHS, se
 def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_DOCS, epochs: int = EPOCHS) -> Tagger:
     """Learn from at most ``most`` documents that hold a digit or an at-sign, chosen by a hash of their text."""
     text = F.col(text_col)
-    sample = docs.where(text.rlike("[0-9@]")).select(F.substring(text, 1, 4000).alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(most)
+    sample = docs.where(text.rlike("[0-9@]")).select(text.alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(most)
     return train_tagger([t for t, _ in sample.collect()], epochs=epochs)
 
 
