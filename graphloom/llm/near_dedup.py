@@ -198,7 +198,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _within_blocks(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of one bucket, enough to join all that its members' links join.
+    """Links (a, b) between different components of one bucket, by component, enough to join all that its members' links join.
 
     ``rows``: key, size, class_id, comp, n, bands, filled, shingles. A bucket's members are dealt to blocks, and each pair of blocks is
     one run of rows in some partition; a pair is looked at only in the first band that its members share.
@@ -244,7 +244,7 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
                     shared = int(np.count_nonzero(u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v))
                     if 100 * shared >= PERCENT * (len(u) + len(v) - shared):
                         parent[max(ca, cb)] = min(ca, cb)
-                        found.append((int(t["class_id"][a]), int(t["class_id"][b])))
+                        found.append((int(t["comp"][a]), int(t["comp"][b])))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +276,8 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches by row, classes, confirmed links between class ids)."""
+def sketches_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(sketches by row, classes as k1, k2, n, component_id)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = stored(sketch(docs), "near-sketches")
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
@@ -291,20 +291,21 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Buckets of three or more that still hold several components: there are pairs that no star has tested.
     comps = cut(connected_components(first, "a", "b"))
-    in_comp = stored(classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("component", "class_id")).select("class_id", "n", "comp", "bands", "filled"), "near-members")
+    in_comp = stored(classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("component", "class_id")).drop("component"), "near-members")
     members = stored(in_comp.select("class_id", "comp", F.explode("bands").alias("key")).join(leads.where("size > 2").select("key", "size"), "key"), "near-index")
     open_buckets = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    rows = members.join(open_buckets, "key", "left_semi").select("key", "size", "class_id").join(in_comp, "class_id")
+    rows = members.join(open_buckets, "key", "left_semi").select("key", "size", "class_id").join(in_comp.select("class_id", "comp", "n", "bands", "filled"), "class_id")
     sets = _sets(docs, cut(rows.select(F.col("class_id").alias("doc_id")).distinct()))
     second = _within_blocks(rows.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"))
-    return sketches, classes, cut(first.union(second).distinct())
+    # The links found there join whole components, so only those are looked at again.
+    joined = cut(connected_components(second, "a", "b"))
+    named = in_comp.select("k1", "k2", "n", "comp").join(joined.withColumnRenamed("node", "comp"), "comp", "left")
+    return sketches, cut(named.select("k1", "k2", "n", F.coalesce("component", "comp").alias("component_id")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept."""
-    sketches, classes, links = links_and_classes(docs, id_col, text_col)
-    comps = connected_components(links, "a", "b")
-    named = cut(classes.select("k1", "k2", "n", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select("k1", "k2", "n", F.coalesce("component", "class_id").alias("component_id")))
+    sketches, named = sketches_and_components(docs, id_col, text_col)
     rows = sketches.select("doc_id", "n", "k1", "k2")
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
