@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", mo
     """(node, component) of every node with an edge; a component is named by its least node. Loops and null ends count for nothing."""
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     pairs = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct())
-    seen = None
-    for _ in range(most_rounds):
+    seen = pairs.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    for _ in range(most_rounds if seen[0] else 0):
         pairs = cut(_star(_star(pairs, True), False))
         # Converged when every edge leads to a node that no edge leaves: the totals then no longer change.
         now = pairs.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -39,5 +39,6 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", mo
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
