@@ -13,9 +13,12 @@ over the result (task number and running number).
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +38,39 @@ CACHE_UNITS = 500_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """The ids of the added tokens of the JSON file beside a rank file, if there is one."""
+    beside = Path(path).with_suffix(".json")
+    tokens = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"] if beside.exists() else []
+    if any(token[rule] for token in tokens for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{beside} has added tokens that are not matched as they stand")
+    return {token["content"]: token["id"].to_bytes(4, "little") for token in tokens}
+
+
 class UnitEncoder:
     """Ids by a rank file; what stands between borders of the byte-level pattern is encoded once and remembered.
 
     The rank file holds the vocabulary of the JSON file of the same name, and its ids are those that the JSON file gives; the rank
-    coder is several times faster on the short units that are left to encode.
+    coder is several times faster on the short units that are left to encode. Texts are first cut at the added tokens of that file,
+    which have ids of their own.
     """
 
     def __init__(self, path: str, pattern: str):
+        self.added = added_tokens(path)
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.coder = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
         # A space that a non-space follows always begins a new pre-token.
         self.border, self.odd = regex.compile(r" (?=\S)"), regex.compile(r" (?:\s|$)")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.marks is None:
+            return self.encode_plain(texts)
+        parts = [self.marks.split(text) for text in texts]  # plain text and added tokens by turns
+        plain = iter(self.encode_plain([part for each in parts for part in each[::2]]))
+        return [b"".join([self.added[part] if i % 2 else next(plain) for i, part in enumerate(each)]) if len(each) > 1 else next(plain) for each in parts]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
             first, *rest = self.border.split(text) if self.odd.search(text) else text.split(" ")

@@ -289,6 +289,15 @@ def test_unit_encoder_equals_tokenizers(plain):
     assert packing.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_unit_encoder_knows_added_tokens():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"foo{mark}bar", f"a {mark} b", f"a  {mark}\n\n b", mark, mark * 3, f"{mark} x", f"x \t{mark}", f"{mark[:-1]} > {mark[1:]}", f"one two{mark}three  four {mark}", "none", ""]
+    coder = packing.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder.encode(texts[:1]) == [np.array([21943, 50256, 5657], "<u4").tobytes()]
+
+
 # 6 language identification
 
 
