@@ -195,6 +195,20 @@ def test_names_are_refined_in_order(spark):
     assert out == {("s", "0"): ("Marie Curie", "Paris"), ("s", "1"): ("Marie Curie", "Paris"), ("t", "0"): ("Pariss", "x")}
 
 
+def test_relations_are_ranked_among_allowed_properties(spark):
+    from graphloom.plans.queries import _ontology_with_aliases
+
+    onto = _ontology_with_aliases(spark)
+    onto.chooser = models.SimilarityChooser(least=-1.0)
+    # Nearer than any alias of a property that orders and customers allow, but of one that they do not.
+    near = refine.embedded(spark.createDataFrame([(f"put in by {i}",) for i in range(400)], "alias_label string"), "alias_label", onto.embedder, "alias_text_embedding")
+    onto.property_aliases = onto.property_aliases.unionByName(near.withColumn("relation_id", F.lit("P4")))
+    facts = spark.createDataFrame([("Order#1", "put in by", "Ann", "E5", "E1"), ("Order#1", "put in by", "Part#1", "E5", "E6"), ("Order#1", None, "Ann", "E5", "E1"), ("Order#1", "put in by", "Ann", None, "E1")], "subject string, relation string, object string, subject_type_id string, object_type_id string")
+    facts = facts.withColumns({"subject_type": F.lit("order"), "object_type": F.lit("x")})
+    out = {(r.relation, r.property_id) for r in refine.refine_relations(facts, onto).collect()}
+    assert out == {("placed by", "P3"), ("contains", "P4"), (None, None), ("put in by", None)}
+
+
 def test_failures_are_rows(spark):
     class Broken:
         def __call__(self, text):
