@@ -209,6 +209,19 @@ def test_relations_are_ranked_among_allowed_properties(spark):
     assert out == {("placed by", "P3"), ("contains", "P4"), (None, None), ("put in by", None)}
 
 
+@pytest.mark.parametrize("typed", [False, True])
+def test_untyped_names_see_k_distinct_labels(spark, typed):
+    class Last:
+        def __call__(self, name, candidates, context=""):
+            return "|".join(candidates)
+
+    stored = [("s", "", "near", f"Paris {i}") for i in range(14)] + [("s", "", "far", "Lyon on the Rhone")]
+    aliases = spark.createDataFrame(stored, "sample_id string, entity_type string, label string, alias string")
+    facts = spark.createDataFrame([("s", "0", 0, "Paris", "")], "sample_id string, source_text_id string, seq long, subject string, subject_type string")
+    out = refine.refine_names(facts, aliases, models.HashEmbedder(), Last(), typed=typed, columns=("subject",)).first()
+    assert out.subject == ("near" if typed else "near|far")
+
+
 def test_failures_are_rows(spark):
     class Broken:
         def __call__(self, text):
