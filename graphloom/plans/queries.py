@@ -553,8 +553,8 @@ def ingest_structured(spark, sf):
 
 @query("qa_end_to_end")
 def qa_end_to_end(spark, sf):
-    """In which region does each nation lie? Linked, expanded and answered by the stand-ins."""
-    edges = fixtures.initial_triplets(spark, sf).where("relation = 'part of region'")
-    names = refine.embedded(edges.select(F.col("subject").alias("name")), "name", models.HashEmbedder())
-    questions = edges.select(F.col("source_text_id").alias("question_id"), F.concat(F.lit("which region is "), "subject", F.lit(" part of")).alias("question"))
+    """What does each fact say of its subject? Linked, expanded and answered by the stand-ins."""
+    edges = fixtures.initial_triplets(spark, sf)
+    names = refine.embedded(edges.select(F.col("subject").alias("name")).union(edges.select("object")), "name", models.HashEmbedder())
+    questions = edges.select(F.col("source_text_id").alias("question_id"), F.concat_ws(" ", F.lit("what does"), "subject", F.lit("have as"), "relation").alias("question"))
     return qa.answer_questions(questions, edges, names, models.OverlapAnswerer(), depth=1)[1]

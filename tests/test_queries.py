@@ -44,6 +44,21 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_questions_are_asked_of_all_facts(spark, sf):
+    from graphloom.functions.models import OverlapAnswerer
+    from graphloom.sources import fixtures
+
+    facts = fixtures.initial_triplets(spark, sf).select("source_text_id", "subject", "relation", "object").collect()
+    near = {}
+    for _, s, r, o in facts:
+        near.setdefault(s, set()).add((s, r, o))
+        near.setdefault(o, set()).add((s, r, o))
+    found = {r.question_id: r for r in QUERIES["qa_end_to_end"](spark, sf).collect()}
+    assert found.keys() == {f.source_text_id for f in facts}
+    for i, s, _, _ in facts:
+        assert found[i].answer == OverlapAnswerer()(found[i].question, sorted(near[s]))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
