@@ -367,14 +367,17 @@ def drawn_windows(n: int, contexts: list[str], seed: int = SEED) -> list[tuple[s
 
 
 def train_tagger(sample: list[str], drawn: int = DRAWN, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
-    """A tagger that learned from the pattern spans of the sampled texts and from drawn examples."""
+    """A tagger that learned from the pattern spans in every window of the sampled texts and from drawn examples.
+
+    Time and memory grow with the windows of the sample.
+    """
     examples: list[tuple[str, list[Span], int]] = []
     contexts = []
     for text in sample:
         spans = base_spans(text)
         starts = windows_of(text)
-        examples += [(text, spans, start) for start in starts[:6]]
-        contexts += [t for start in starts[:2] if len(t := _TRIGGER.sub("", text[start : start + WINDOW])) > 30]
+        examples += [(text, spans, start) for start in starts]
+        contexts += [t for start in starts if len(t := _TRIGGER.sub("", text[start : start + WINDOW])) > 30]
     examples += [(text, spans, 0) for text, spans in drawn_windows(drawn, sorted(set(contexts)), seed)]
     ids, tags = np.full((len(examples), WINDOW), PAD, np.int64), np.zeros((len(examples), WINDOW), np.int64)
     for r, (text, spans, start) in enumerate(examples):

@@ -371,6 +371,18 @@ def test_tagger_learns_and_decodes_across_windows():
         gradient.p[name][at] -= 1e-5
 
 
+def test_every_window_of_a_sampled_text_teaches(monkeypatch):
+    seen, contexts = [], []
+    monkeypatch.setattr(pii.Tagger, "train", lambda self, ids, tags, *_, **__: seen.append((ids, tags)))
+    monkeypatch.setattr(pii, "drawn_windows", lambda n, given, seed: contexts.extend(given) or [])
+    text = " ".join(f"{chr(97 + i) * 40} call {i} or mail joe.{i}@mail.example.com today" for i in range(20))
+    pii.train_tagger([text], drawn=0)
+    starts = pii.windows_of(text)
+    ids, tags = seen[0]
+    assert len(starts) > 20 and len(ids) == len(starts) and tags[-1].any()
+    assert any("t" * 20 in c for c in contexts) and any("a" * 20 in c for c in contexts)
+
+
 def test_redaction_keeps_other_columns(odd):
     out = {r.doc_id: r for r in pii.redact(odd, pii.Tagger()).collect()}
     assert out[9].text == "Mail <email> or <phone>, card <card>, ip <ip>!" and out[9].kept == "x" and out[3].text is None
