@@ -13,79 +13,25 @@ over the result (task number and running number).
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphloom.llm.byte_bpe import read_ranks, vocabulary_file
-from graphloom.llm.common import strings, text_chunks, word_hashes
+from graphloom.llm.byte_bpe import vocabulary_file
+from graphloom.llm.common import runs, text_chunks, tidied, word_hashes
+from graphloom.llm.unit_encoder import UnitEncoder
 
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 6 << 20
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
-CACHE_UNITS = 500_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def added_tokens(path: str) -> dict[str, bytes]:
-    """The ids of the added tokens of the JSON file beside a rank file, if there is one."""
-    beside = Path(path).with_suffix(".json")
-    tokens = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"] if beside.exists() else []
-    if any(token[rule] for token in tokens for rule in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError(f"{beside} has added tokens that are not matched as they stand")
-    return {token["content"]: token["id"].to_bytes(4, "little") for token in tokens}
-
-
-class UnitEncoder:
-    """Ids by a rank file; what stands between borders of the byte-level pattern is encoded once and remembered.
-
-    The rank file holds the vocabulary of the JSON file of the same name, and its ids are those that the JSON file gives; the rank
-    coder is several times faster on the short units that are left to encode. Texts are first cut at the added tokens of that file,
-    which have ids of their own.
-    """
-
-    def __init__(self, path: str, pattern: str):
-        self.added = added_tokens(path)
-        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.coder = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        # A space that a non-space follows always begins a new pre-token.
-        self.border, self.odd = regex.compile(r" (?=\S)"), regex.compile(r" (?:\s|$)")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.marks is None:
-            return self.encode_plain(texts)
-        parts = [self.marks.split(text) for text in texts]  # plain text and added tokens by turns
-        plain = iter(self.encode_plain([part for each in parts for part in each[::2]]))
-        return [b"".join([self.added[part] if i % 2 else next(plain) for i, part in enumerate(each)]) if len(each) > 1 else next(plain) for each in parts]
-
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            first, *rest = self.border.split(text) if self.odd.search(text) else text.split(" ")
-            split.append([first, *[" " + unit for unit in rest]])
-        wanted = set().union(*split) if split else set()
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_UNITS:
-            self.known.clear()
-            missing = wanted
-        known, encode = self.known, self.coder.encode_ordinary
-        for unit in missing:
-            known[unit] = array("I", encode(unit)).tobytes()
-        return [b"".join(map(self.known.__getitem__, units)) for units in split]
-
-
 class Index:
     """BM25 postings of one shard, in memory."""
 
@@ -156,49 +102,48 @@ def pack_shard(sizes: list[int], scores, window: int = WINDOW) -> Iterator[tuple
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, binary, with ``with_ids``)."""
 
-    def pieces(ids: pa.Array, texts: pa.Array, coder: UnitEncoder, first: int) -> tuple[pa.RecordBatch, int]:
-        encoded, hashes, rows = [], [], []
-        for lo, hi, data, offsets in text_chunks(texts):
-            encoded += coder.encode(texts.slice(lo, hi - lo).to_pylist())
-            h, r = word_hashes(data, offsets)
-            hashes.append(h)
-            rows.append(r + lo)
-        end = END_ID.to_bytes(4, "little")
-        encoded = [e + end for e in encoded]
-        index = Index(np.concatenate(hashes), np.concatenate(rows), len(encoded))
-        made = list(pack_shard([len(e) // 4 for e in encoded], index.scores, window))
+    def pieces(held: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of one shard, from parts (document ids, token ids, sizes in tokens, word hashes, words of each document)."""
+        ids = pa.concat_arrays([h[0] for h in held])
+        tokens, sizes, hashes, words = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
+        index = Index(hashes, np.repeat(np.arange(len(words)), words), len(sizes))
+        made = list(pack_shard(sizes.tolist(), index.scores, window))
+        del index, hashes, held
         doc, start, length, sequence, offset = np.array(made, np.int64).T
-        cut = [encoded[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in made]
+        begin = (np.cumsum(sizes) - sizes)[doc] + start
+        bare = memoryview(tokens).cast("B")
         columns = {
             "doc_id": ids.take(pa.array(doc)),
             "start": pa.array(start),
             "length": pa.array(length),
-            "ids_crc32": pa.array([zlib.crc32(c) for c in cut], pa.int64()),
-            "doc_tokens": pa.array(np.array([len(e) // 4 for e in encoded], np.int64)[doc]),
+            "ids_crc32": pa.array([zlib.crc32(bare[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)], pa.int64()),
+            "doc_tokens": pa.array(sizes[doc]),
             "sequence_id": pa.array(sequence + first),
             "offset": pa.array(offset),
         }
         if with_ids:
-            columns["ids"] = pa.array(cut, pa.binary())
+            ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+            columns["ids"] = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(tokens[runs(begin, length)])])
         return pa.RecordBatch.from_pydict(columns), first + int(sequence[-1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = UnitEncoder(vocabulary_file(vocabulary), pattern)
+        coder = UnitEncoder(vocabulary_file(vocabulary), pattern, END_ID)
         first = TaskContext.get().partitionId() << 36
-        held: list[tuple[pa.Array, pa.Array]] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
-            texts = strings(batch.column(1))
-            for lo, hi, data, _ in text_chunks(texts, shard_bytes):
-                held.append((batch.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)))
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                tokens, ends = coder.encode(data, offsets)
+                hashes, rows = word_hashes(data, offsets)
+                held.append((batch.column(0).slice(lo, hi - lo), tokens, np.diff(ends, prepend=0), hashes, np.bincount(rows, minlength=hi - lo)))
                 size += len(data)
-                if size >= 3 * shard_bytes // 4:
-                    out, first = pieces(pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), coder, first)
+                if size >= shard_bytes:
+                    out, first = pieces(held, first)
                     held, size = [], 0
                     yield out
         if held:
-            yield pieces(pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), coder, first)[0]
+            yield pieces(held, first)[0]
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids binary" * with_ids)
+    return picked.mapInArrow(tidied(run), f"doc_id {kind}, {SCHEMA}" + ", ids binary" * with_ids)

@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import byte_bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, pii, quality, token_counts, topk_search
+from graphloom.llm import byte_bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, pii, quality, token_counts, topk_search, unit_encoder
 from graphloom.llm.common import strings, text_chunks, word_hashes
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000))
@@ -200,7 +201,6 @@ def test_ngram_scores_over_shards(docs):
 
 def check_pieces(rows, texts):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -230,7 +230,7 @@ def test_packing(docs, plain):
 
 def test_bm25_index():
     texts = ["a b c", "a b d", "e f g", "a b c d", "h i j", "k l m", "n o p"]
-    hashes, rows = map(np.concatenate, zip(*[(h, r + lo) for lo, hi, data, offsets in text_chunks(strings(__import__("pyarrow").array(texts))) for h, r in [word_hashes(data, offsets)]]))
+    hashes, rows = map(np.concatenate, zip(*[(h, r + lo) for lo, hi, data, offsets in text_chunks(strings(pa.array(texts))) for h, r in [word_hashes(data, offsets)]]))
     scores = packing.Index(hashes, rows, len(texts)).scores(0)
     n, avg = len(texts), np.mean([len(t.split()) for t in texts])
     for d, text in enumerate(texts):
@@ -282,20 +282,40 @@ def test_byte_bpe_equals_the_library(docs, plain):
         assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def unit_ids(coder, texts):
+    """The ids of each text, by chunks as the packing makes them."""
+    out = []
+    for _, _, data, offsets in text_chunks(strings(pa.array(texts, pa.string())), 50_000):
+        ids, ends = coder.encode(data, offsets)
+        out += [i.astype("<u4").tobytes() for i in np.split(ids, ends[:-1])]
+    return out
+
+
 def test_unit_encoder_equals_tokenizers(plain):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [t for _, t, _ in plain] + ODD_TEXTS
-    assert packing.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    coder = unit_encoder.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert unit_ids(coder, texts) == wanted
+    assert unit_ids(coder, texts[::-1]) == wanted[::-1]
+
+
+def test_unit_encoder_starts_afresh_and_survives_collisions(plain, monkeypatch):
+    texts = [t for _, t, _ in plain][:40] + ODD_TEXTS
+    wanted = unit_ids(unit_encoder.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), texts)
+    monkeypatch.setattr(unit_encoder, "CACHE_BYTES", 100)
+    assert unit_ids(unit_encoder.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), texts) == wanted
+    monkeypatch.setattr(unit_encoder, "span_hashes", lambda data, a, b, lower: np.asarray(b - a, np.uint64) << np.uint64(40))
+    assert unit_ids(unit_encoder.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), texts) == wanted
 
 
 def test_unit_encoder_knows_added_tokens():
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     mark = "<|endoftext|>"
-    texts = [f"foo{mark}bar", f"a {mark} b", f"a  {mark}\n\n b", mark, mark * 3, f"{mark} x", f"x \t{mark}", f"{mark[:-1]} > {mark[1:]}", f"one two{mark}three  four {mark}", "none", ""]
-    coder = packing.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert coder.encode(texts[:1]) == [np.array([21943, 50256, 5657], "<u4").tobytes()]
+    texts = [f"foo{mark}bar", f"a {mark} b", f"a  {mark}\n\n b", mark, mark * 3, f"{mark} x", f"x \t{mark}", f"{mark[:-1]} > {mark[1:]}", f"one two{mark}three  four {mark}", "none", "", mark[:6], mark[6:]]
+    coder = unit_encoder.UnitEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert unit_ids(coder, texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert unit_ids(coder, texts[:1]) == [np.array([21943, 50256, 5657], "<u4").tobytes()]
 
 
 # 6 language identification
