@@ -11,7 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Up to so many rows of a few narrow columns a side of a join is broadcast; its rows are counted first.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text handled by one round of vectorised work; a longer single text is a round of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -35,6 +39,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def checked_broadcast(narrow: DataFrame, most: int | None = None) -> DataFrame:
+    """``narrow`` (stored or checkpointed, so that counting is cheap), to be broadcast if its counted rows allow it, else shuffled."""
+    return F.broadcast(narrow) if narrow.count() <= (BROADCAST_ROWS if most is None else most) else narrow.hint("shuffle_merge")
+
+
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each run, one run after the other."""
     ends = np.cumsum(sizes)

@@ -1,9 +1,9 @@
 """Exact deduplication by progressive refinement: length, then a hash of the first characters, then a hash of the whole text.
 
-Only DataFrame functions run here. Each round narrows the rows that the next has to look at; the full hash is evaluated only for
-rows that another row matches in length and prefix. Rounds one and two pass their survivors on as bucket numbers, of which there
-are at most ``2**bits``, so that what is broadcast has a fixed bound at any input size; two values sharing a bucket merely let a
-row through to the full hash, which alone decides.
+Only DataFrame functions run here. One pass writes each row's length and prefix hash; the lengths that occur more than once, and then
+the (length, prefix) pairs among those, are found on these narrow rows alone. Whole texts are read once more, and the full hash is
+evaluated only for rows whose pair another row shares; it alone decides. The pairs are broadcast when they are few enough by count
+(``BROADCAST_ROWS``) and joined by a shuffle otherwise, with the same result.
 
 Defined results: null text counts as empty; null ids sort after all others; a group of null ids keeps one row; of rows that repeat
 both id and text one is kept; input columns other than id and text are ignored, whatever their names; an empty table gives no rows.
@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import checked_broadcast
 from graphloom.session import cut, stored
 
-#: Length of the hashed prefix in characters, and the logarithm of the number of survivor buckets.
-PREFIX, BITS = 64, 17
+#: Length of the hashed prefix in characters.
+PREFIX = 64
 
 
 def normalised(text: Column) -> Column:
@@ -25,52 +26,60 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, bits: int = BITS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept (and text_sha256 with ``digest``, which hashes every text)."""
-    buckets = F.lit(1 << bits)
-    text = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    by_length = F.pmod(F.length("_text"), buckets)
-    by_prefix = F.pmod(F.xxhash64(F.length("_text"), F.substring("_text", 1, PREFIX)), buckets)
-
-    def shared(rows: DataFrame, key: Column, name: str) -> DataFrame:
-        return cut(rows.groupBy(key.alias(name)).count().where("count > 1").select(name))
+def _head(text: Column) -> Column:
+    """Length and first characters in one number."""
+    return F.xxhash64(F.length(text), F.substring(text, 1, PREFIX))
 
-    lengths = shared(base, by_length, "_l")
-    same_length = base.withColumn("_l", by_length).join(F.broadcast(lengths), "_l", "left_semi")
-    prefixes = shared(same_length, by_prefix, "_p")
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    """doc_id, _key (null for rows that are alone in length and prefix) and, with ``digest``, text_sha256."""
+    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
+    heads = stored(base.select(F.length("_text").alias("_l"), _head(F.col("_text")).alias("_p")), "exact-heads")
+    lengths = cut(heads.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_l"))
+    same_length = heads.join(checked_broadcast(lengths), "_l", "left_semi")
+    shared = cut(same_length.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_p", F.lit(True).alias("_shared")))
     full = F.sha2("_text", 256)
-    flagged = (
-        base.withColumns({"_l": by_length, "_p": by_prefix})
-        .join(F.broadcast(lengths.withColumn("_in_l", F.lit(True))), "_l", "left")
-        .join(F.broadcast(prefixes.withColumn("_in_p", F.lit(True))), "_p", "left")
-    )
-    survives = F.col("_in_l") & F.col("_in_p")
+    rows = base.withColumn("_p", _head(F.col("_text"))).join(checked_broadcast(shared), "_p", "left")
+    return rows.select("doc_id", F.when(F.col("_shared"), full).alias("_key"), *([full.alias("text_sha256")] if digest else []))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept (and text_sha256 with ``digest``, which hashes every text)."""
+    rows = stored(_keyed(docs, id_col, text_col, digest), "exact-rows")
+    alone = rows.where("_key IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *(["text_sha256"] if digest else []), F.lit(True).alias("kept"))
     # Rows that repeat id and text are counted here and expanded again at the end.
-    alone = F.concat_ws(":", F.lit("row"), "doc_id", F.length("_text"), F.xxhash64("_text"))
-    columns = [F.col("doc_id"), F.when(survives, full).otherwise(alone).alias("_key")]
-    if digest:
-        columns.append(full.alias("text_sha256"))
-    rows = flagged.select(columns)
-    rows = stored(rows.groupBy(rows.columns).agg(F.count(F.lit(1)).alias("_copies")), "exact-rows")
-
-    groups = rows.groupBy("_key").agg(F.min("doc_id").alias("_keep"), F.sum("_copies").alias("_size")).where("_size > 1")
-    joined = rows.join(cut(groups), "_key", "left")
-    keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    decided = joined.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        *(["text_sha256"] if digest else []),
-        F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth"),
-    )
-    return decided.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)).drop("_nth")
+    rows = rows.where("_key IS NOT NULL")
+    counted = rows.groupBy(rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    groups = cut(rows.groupBy("_key").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    joined = counted.join(groups, "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)
+    return alone.unionByName(joined.select("doc_id", "keep_id", "group_size", *(["text_sha256"] if digest else []), kept.alias("kept")))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows of ``docs`` with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, digest=True).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    rows = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_digest"] == kept["_kept_text"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    """The kept rows of ``docs`` with all their columns.
+
+    Rows are told apart by id, so only what is dropped has to meet the texts again. Of ids that occur more than once, null among them,
+    there is no telling which row is meant; their rows are compared by id and full hash.
+    """
+    rows = stored(_keyed(docs, id_col, text_col, False), "exact-rows")
+    often = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_often")))
+    groups = cut(rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min("doc_id").alias("_keep")))
+    members = rows.where("_key IS NOT NULL").join(groups, "_key")
+    dropped = cut(members.where("NOT doc_id <=> _keep").select(F.col("doc_id").alias("_dropped")).distinct())
+    own = docs[id_col]
+    plenty = checked_broadcast(often)
+    once = docs.join(plenty, own.eqNullSafe(plenty["_often"]), "left_anti")
+    gone = checked_broadcast(dropped)
+    once = once.join(gone, own.eqNullSafe(gone["_dropped"]), "left_anti")
+    if often.isEmpty():
+        return once
+    digest = F.sha2(normalised(F.col(text_col)), 256)
+    name = next(f"_{i}" for i in range(len(docs.columns) + 1) if f"_{i}" not in docs.columns)
+    repeated = docs.join(plenty, own.eqNullSafe(plenty["_often"]), "left_semi").withColumn(name, digest).dropDuplicates([id_col, name])
+    # A kept row of such an id leads its group, or is alone in length and prefix.
+    leads = groups.select(F.col("_keep").alias("_lead"), F.col("_key").alias("_text"))
+    in_group = groups.select(F.col("_key").alias("_text"))
+    led = repeated.join(leads, repeated[id_col].eqNullSafe(leads["_lead"]) & (repeated[name] == leads["_text"]), "left_semi")
+    alone = repeated.join(in_group, repeated[name] == in_group["_text"], "left_anti")
+    return once.unionByName(led.unionByName(alone).drop(name))

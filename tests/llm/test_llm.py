@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import byte_bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, pii, quality, token_counts, topk_search, unit_encoder
+from graphloom.llm import byte_bpe, common, exact_dedup, language_id, near_dedup, ngram_lm, packing, pii, quality, token_counts, topk_search, unit_encoder
 from graphloom.llm.common import strings, text_chunks, word_hashes
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000))
@@ -259,9 +259,21 @@ def test_exact_dedup_edge_cases(odd):
         assert sum(r.kept for r in mine) == 1
 
 
-def test_few_buckets_change_nothing(docs):
-    few = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, bits=1).collect()}
-    assert few == {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+def test_joins_without_broadcast_give_the_same(docs, odd, monkeypatch):
+    for df in (docs, odd):
+        results = []
+        for most in (common.BROADCAST_ROWS, -1):
+            monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+            results.append((sorted(map(str, exact_dedup.exact_dedup(df).collect())), sorted(map(str, exact_dedup.keep_first(df).collect()))))
+        assert results[0] == results[1]
+
+
+def test_kept_rows_keep_all_columns(odd):
+    df = odd.withColumnsRenamed({"source": "_digest", "lang": "_0"})
+    assert exact_dedup.keep_first(df).columns == df.columns
+    kept = exact_dedup.keep_first(df).collect()
+    texts = Counter(re.sub(r"[ \t-\r]+", " ", r.text or "") for r in kept)
+    assert set(texts.values()) == {1} and len(texts) == len({re.sub(r"[ \t-\r]+", " ", t or "") for _, t, *_ in ROWS})
 
 
 # 5 byte-level BPE
