@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, near_dedup, packing, pii, quality
-from graphloom.session import ship, stored
+from graphloom.llm.common import checked_broadcast
+from graphloom.session import cut, ship, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +25,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked near-duplicates, the document with the smallest id."""
+    """Of each group of linked near-duplicates, the document with the smallest id; rows that share an id are one document, null ids stay."""
     ship(spark)
-    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    dropped = near_dedup.near_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
+    gone = checked_broadcast(cut(dropped.select(F.col("doc_id").alias("_dropped"))))
+    return docs.join(gone, docs["doc_id"] == gone["_dropped"], "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
