@@ -58,11 +58,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Arrow batches are cut by bytes, as texts may be long: of each batch several copies are held at once, in the JVM and in the worker.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, wherever the driver found it; once for each application."""
+    """Make this package importable in Python workers, wherever the driver found it; once for each application. Arrow batches get a bound."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT and not context.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)  # a value that the session was given stays
     if context.applicationId not in _SHIPPED:
         top = Path(__file__).resolve().parent
         if top.is_dir():
