@@ -25,7 +25,7 @@ VEC = """
 va AS (SELECT vec_id, 'V' || vec_id AS alias, 'L' || label AS label, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS entity_type,
   'S' || (vec_id % 4) AS sample_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sc AS (SELECT q.vec_id AS query_id, q.sample_id AS q_sample, q.entity_type AS q_type, a.vec_id, a.label, a.sample_id, a.entity_type, round(list_cosine_similarity(q.v, a.v), 9) AS score
-  FROM va q JOIN va a ON true WHERE q.vec_id < 20)"""
+  FROM va q JOIN va a ON true WHERE q.vec_id % 100 = 0)"""
 
 
 def _list(values: list[str]) -> str:

@@ -3,6 +3,7 @@
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,44 @@ def test_names_are_refined_in_order(spark):
     assert out == {("s", "0"): ("Marie Curie", "Paris"), ("s", "1"): ("Marie Curie", "Paris"), ("t", "0"): ("Pariss", "x")}
 
 
+def plain_fold(facts, aliases, embedder, chooser, typed, k=10):
+    """refine_names one fact at a time."""
+    known = {}
+    for sample, kind, label, alias in aliases:
+        known.setdefault((sample, kind if typed else ""), {})[alias] = label
+    out = []
+    for sample, source, seq, *ends in sorted(facts):
+        said = []
+        for name, kind in (ends[:2], ends[2:]):
+            own = known.setdefault((sample, kind if typed else ""), {})
+            if name not in own:
+                me = embedder.one(name)
+                near = sorted((-round(float(np.dot(me, embedder.one(a))), 9), a) for a in own)[: k if typed else 150]
+                labels = list(dict.fromkeys(own[a] for _, a in near))[:k]
+                own[name] = (chooser(name, labels) if labels else None) or name
+            said.append(own[name])
+        out.append((sample, source, *said))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("typed", [False, True])
+def test_names_equal_a_plain_fold(spark, typed, monkeypatch):
+    import random
+
+    monkeypatch.setattr(refine.AliasFold, "SCORES", 64)
+    draw = random.Random(3)
+    names = [f"{a}{b} {c}" for a in ("Mar", "Per", "Tol") for b in ("ie", "in", "on", "ies") for c in ("Curie", "Curi", "Smith", "Smiths")]
+    facts = [(f"s{draw.randrange(3)}", f"{i:04d}", 0, draw.choice(names), draw.choice("xy"), draw.choice(names), draw.choice("xy")) for i in range(400)]
+    stored = [(f"s{i % 2}", "xy"[i % 2], f"L{i}", f"Marie Curi{i}") for i in range(6)]
+    df = spark.createDataFrame(facts, "sample_id string, source_text_id string, seq long, subject string, subject_type string, object string, object_type string")
+    aliases = spark.createDataFrame(stored, "sample_id string, entity_type string, label string, alias string")
+    embedder, chooser = models.HashEmbedder(), models.SimilarityChooser(least=0.7)
+    found = refine.refine_names(df.repartition(5), aliases, embedder, chooser, typed=typed)
+    wanted = plain_fold(facts, stored, embedder, chooser, typed)
+    assert sorted((r.sample_id, r.source_text_id, r.subject, r.object) for r in found.collect()) == wanted
+    assert len({w[2] for w in wanted}) < len({f[3] for f in facts})
+
+
 def test_relations_are_ranked_among_allowed_properties(spark):
     from graphloom.plans.queries import _ontology_with_aliases
 
