@@ -26,6 +26,8 @@ from graphloom.llm.common import runs, text_chunks, tidied, word_hashes
 from graphloom.llm.unit_encoder import UnitEncoder
 
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 6 << 20
+#: Bytes of text encoded at once.
+CHUNK_BYTES = 1 << 19
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -37,18 +39,28 @@ class Index:
 
     def __init__(self, hashes: np.ndarray, rows: np.ndarray, n: int):
         self.n = n
-        _, terms = np.unique(hashes, return_inverse=True)
-        size = int(terms.max()) + 1 if len(terms) else 0
-        pairs, counts = np.unique(terms.astype(np.int64) * n + rows, return_counts=True)
-        self.docs, terms = pairs % n, pairs // n
-        frequency = np.bincount(terms, minlength=size)
         lengths = np.bincount(rows, minlength=n)
+        # Words by hash and then document, as documents are in order; equal neighbours are one posting.
+        order = np.argsort(hashes, kind="stable").astype(np.uint32)
+        hashes, rows = hashes[order], rows[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        terms = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, hashes
+        fresh[1:] |= rows[1:] != rows[:-1]
+        at = np.flatnonzero(fresh)
+        counts = np.diff(at, append=len(fresh))
+        self.docs, terms = rows[at], terms[at]
+        del rows, fresh, at
+        size = int(terms[-1]) + 1 if len(terms) else 0
+        frequency = np.bincount(terms, minlength=size)
         # A term in over half of the documents tells nothing: its weight is 0 and its list need not be read.
         idf = np.maximum(0.0, np.log((n - frequency + 0.5) / (frequency + 0.5)))
         norm = K1 * (1 - B + B * lengths[self.docs] / max(1.0, lengths.mean()))
-        self.impact = idf[terms] * counts * (K1 + 1) / (counts + norm)
+        self.impact = (idf[terms] * counts * (K1 + 1) / (counts + norm)).astype(np.float32)
+        del norm, counts
         self.begin = np.concatenate([[0], np.cumsum(frequency)])
-        order = np.argsort(self.docs, kind="stable")
+        order = np.argsort(self.docs, kind="stable").astype(np.uint32)
         useful = (idf[terms] > 0) & (frequency[terms] > 1)
         order = order[useful[order]]
         self.terms_of = terms[order]
@@ -103,12 +115,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, window: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, binary, with ``with_ids``)."""
 
     def pieces(held: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
-        """The pieces of one shard, from parts (document ids, token ids, sizes in tokens, word hashes, words of each document)."""
+        """The pieces of one shard, from parts (which it clears): (document ids, token ids, sizes in tokens, word hashes, words of each document)."""
         ids = pa.concat_arrays([h[0] for h in held])
         tokens, sizes, hashes, words = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
-        index = Index(hashes, np.repeat(np.arange(len(words)), words), len(sizes))
+        held.clear()
+        index = Index(hashes, np.repeat(np.arange(len(words), dtype=np.int32), words), len(sizes))
         made = list(pack_shard(sizes.tolist(), index.scores, window))
-        del index, hashes, held
+        del index, hashes
         doc, start, length, sequence, offset = np.array(made, np.int64).T
         begin = (np.cumsum(sizes) - sizes)[doc] + start
         bare = memoryview(tokens).cast("B")
@@ -132,14 +145,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, window: int =
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
                 tokens, ends = coder.encode(data, offsets)
                 hashes, rows = word_hashes(data, offsets)
                 held.append((batch.column(0).slice(lo, hi - lo), tokens, np.diff(ends, prepend=0), hashes, np.bincount(rows, minlength=hi - lo)))
                 size += len(data)
                 if size >= shard_bytes:
                     out, first = pieces(held, first)
-                    held, size = [], 0
+                    size = 0
                     yield out
         if held:
             yield pieces(held, first)[0]

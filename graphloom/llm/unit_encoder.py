@@ -12,7 +12,7 @@ from graphloom.llm.byte_bpe import read_ranks
 from graphloom.llm.common import runs, span_hashes
 
 #: Logarithm of the number of slots of the table of units, and the bytes of units after which an encoder starts afresh.
-SLOT_BITS, CACHE_BYTES = 19, 4 << 20
+SLOT_BITS, CACHE_BYTES = 18, 2 << 20
 #: Whether the byte after a space makes that space a border for certain: no ASCII white space or control, no lead byte of other white space.
 _PLAIN = np.ones(256, bool)
 _PLAIN[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -37,7 +37,7 @@ class Pool:
         """Where the values begin."""
         at, self.n = self.n, self.n + len(values)
         if self.n > len(self.held):
-            self.held = np.concatenate([self.held[:at], np.zeros(max(self.n, 2 * len(self.held)) - at, self.held.dtype)])
+            self.held = np.concatenate([self.held[:at], np.zeros(max(self.n, len(self.held) * 3 // 2) - at, self.held.dtype)])
         self.held[at : self.n] = values
         return at
 
@@ -67,7 +67,7 @@ class UnitEncoder:
         self.keys, self.places = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
         self.ids, self.raw = Pool(np.uint32), Pool(np.uint8)
         # Of each unit: where its ids begin, how many they are, where its bytes begin and how many they are.
-        self.columns = [Pool(np.int64) for _ in range(4)]
+        self.columns = [Pool(np.int32) for _ in range(4)]
         own = np.array([self.end or 0, *self.added.values()], np.uint32)  # unit 0 is the end, the added tokens follow
         self._add(own, np.ones(len(own), np.int64), np.zeros(0, np.uint8), np.zeros(len(own), np.int64))
 
