@@ -1,20 +1,20 @@
 """Personal data: pattern spans, and spans from a character-level bidirectional LSTM with CRF transitions.
 
-The network is written and trained in numpy. Its labelled spans come from a bounded sample of documents, where the patterns mark the
-spans, and from drawn examples of other spellings of the same kinds and of look-alikes that are none. A text is read in windows that
-overlap by half; the emissions of the windows over a position are averaged, weighted towards each window's middle, and one Viterbi
-decoding runs over each stretch of windows, so a span that crosses window borders is found whole.
-
-Every span of the four kinds holds a digit or an at-sign. A window without either can hold no span and is not read; that leaves out
-no part of a text that could matter. Spans of the network that touch a pattern span, or lack the form of their kind, are dropped.
-
-Defined results: null text counts as empty; repeated rows repeat; other columns are ignored; an empty table gives no rows; the
-network then learns from the drawn examples alone.
+The patterns find what has their form and nothing else: a phone number that runs on into another number is lost to them, as are phones
+without a plus sign, cards with other separators, masked e-mail addresses, newer IP addresses and secrets. The network learns these from
+labelled spans: a bounded sample of pieces of all texts, labelled by the patterns and by a closer look at what they swallow, and drawn
+pieces with other spellings of the same kinds and with look-alikes that are none. It reads every window of every text (``tagger``).
+A span of the network counts if it has the form of its kind and touches no pattern span; pattern spans always stay.
+
+Defined results: null text counts as empty and stays null when redacted; repeated rows repeat; other columns are ignored, and kept when
+redacted, whatever their names; rows with null ids are read like others; an empty table gives no rows; the network then learns from the
+drawn pieces alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import strings, text_chunks
+from graphloom.llm.common import span_hashes, strings, text_chunks, tidied
+from graphloom.llm.tagger import PAD, Tagger, char_ids, tag_ids
 
+#: Kinds with patterns, and all kinds that the network knows.
 KINDS = ("email", "ip", "card", "phone")
-#: Window and stride in characters; hidden units each way; sampled documents and drawn windows to learn from; passes over them.
-WINDOW, STRIDE, HIDDEN, SAMPLE_DOCS, DRAWN, EPOCHS, SEED = 64, 32, 16, 300, 900, 6, 11
+LEARNED = (*KINDS, "secret")
+#: Pieces of text (bytes) to learn from: sampled ones with a digit or an at-sign, sampled ones without, drawn ones; passes over them.
+PIECE, MARKED, PLAIN, DRAWN, EPOCHS, SEED = 96, 1000, 600, 1600, 5, 11
 
 Span = tuple[str, int, int]
 
@@ -36,7 +39,19 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What the labels of sampled pieces hold beside the patterns: phones and cards that a longer match has swallowed, and named secrets.
+_PHONE_WITHIN = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
+_CARD_WITHIN = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,})")
+_OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(](?:at|@)[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[A-Za-z0-9-]+)+")
+
+
+_SECRET_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_LOOSE = re.compile(r"[0-9@]")
+_MARK = np.zeros(256, bool)
+_MARK[[*range(48, 58), 64]] = True
+#: Bytes of text read at once.
+CHUNK = 1 << 19
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +108,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def in_order(spans: list[Span]) -> list[Span]:
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(spans, key=lambda s: (s[1], LEARNED.index(s[0]), s[2]))
 
 
 def joined(spans: list[Span]) -> str:
@@ -104,327 +119,204 @@ def well_formed(kind: str, piece: str) -> bool:
     """The form that a span of the network must have."""
     digits = _digits(piece)
     if kind == "email":
-        return 0 < piece.find("@") < len(piece) - 3 and not any(c.isspace() for c in piece)
+        return bool(_OBFUSCATED.fullmatch(piece))
     if kind == "ip":
-        parts = piece.split(".")
-        return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        try:
+            return piece.count(":") > 1 and ipaddress.ip_address(piece).version == 6
+        except ValueError:
+            return False
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits) and all(c in "0123456789 -./_" for c in piece)
-    return 9 <= len(digits) <= 15 and any(c in " ()-./" for c in piece) and all(c in "0123456789 +()-./" for c in piece)
-
+        return 12 <= len(digits) <= 19 and luhn(digits) and all(c in "0123456789 -./_" for c in piece) and piece[0].isdigit() and piece[-1].isdigit()
+    if kind == "phone":
+        return 9 <= len(digits) <= 15 and any(c in " ()-./" for c in piece) and all(c in "0123456789 +()-./" for c in piece) and piece[-1].isdigit() and piece[0] in "+(0123456789"
+    return len(piece) >= 16 and piece.isascii() and not any(c.isspace() for c in piece) and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece) and piece[0].isalnum() and piece[-1].isalnum() and len(set(piece)) >= 8
 
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
-
-def char_ids(text: str) -> np.ndarray:
-    """ASCII characters are their own ids; other letters and other characters are one id each."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if (points < 128).all():
-        return points
-    return np.where(points < 128, points, np.array([128 if c.isalpha() else 129 for c in text]))
-
-
-PAD, ALPHABET = 130, 131
+def all_spans(base: list[Span], added: list[Span], text: str) -> list[Span]:
+    """Base spans and those of the network that touch none of them and have the form of their kind. A secret is a whole run of its characters, and no span cuts a number."""
+    whole = {(k, *(_run(text, a, b) if k == "secret" else (a, b))) for k, a, b in added}
+    return in_order(base + [(k, a, b) for k, a, b in whole if well_formed(k, text[a:b]) and not _within_number(text, a, b) and not any(a < d and c < b for _, c, d in base)])
 
 
-def tag_ids(spans: list[Span], start: int, size: int) -> np.ndarray:
-    """Tags of the characters from ``start``; of overlapping spans the earlier one counts."""
-    tags = np.zeros(size, np.int64)
-    for kind, a, b in spans:
-        lo, hi = max(a - start, 0), min(b - start, size)
-        if lo < hi and not tags[lo:hi].any():
-            tags[lo:hi] = 2 + 2 * KINDS.index(kind)
-            if a >= start:
-                tags[lo] -= 1
-    return tags
+def _within_number(text: str, a: int, b: int) -> bool:
+    """Whether a span begins or ends amid digits."""
+    return text[a - 1 : a + 1].isdecimal() and a > 0 or b < len(text) and text[b - 1 : b + 1].isdecimal()
 
 
-def spans_of(tags: np.ndarray, start: int = 0) -> list[Span]:
-    out, open_at, kind = [], -1, -1
-    for i, t in enumerate([*tags.tolist(), 0]):
-        if open_at >= 0 and t != 2 + 2 * kind:
-            out.append((KINDS[kind], start + open_at, start + i))
-            open_at = -1
-        if t % 2:
-            open_at, kind = i, (t - 1) // 2
-    return out
+def _run(text: str, a: int, b: int) -> tuple[int, int]:
+    while a > 0 and text[a - 1] in _SECRET_CHARACTERS:
+        a -= 1
+    while b < len(text) and text[b] in _SECRET_CHARACTERS:
+        b += 1
+    return a, b
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
-class Tagger:
-    """Bidirectional LSTM over characters, linear emissions, CRF transitions."""
-
-    def __init__(self, hidden: int = HIDDEN, seed: int = SEED):
-        draw = np.random.default_rng(seed)
-        self.hidden = hidden
-        self.p: dict[str, np.ndarray] = {}
-        for side in "fb":
-            self.p["x" + side] = draw.normal(0, 0.2, (ALPHABET, 4 * hidden))
-            self.p["h" + side] = draw.normal(0, 0.2, (hidden, 4 * hidden))
-            self.p["c" + side] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
-        self.p["o"] = draw.normal(0, 0.2, (2 * hidden, TAGS))
-        self.p["ob"] = np.zeros(TAGS)
-        self.p["t"] = np.zeros((TAGS, TAGS))
-        self.p["s"] = np.zeros(TAGS)
-        # Inside follows only begin or inside of its own kind, and never starts a text.
-        self.barred = np.zeros((TAGS, TAGS))
-        self.barred[:, 2::2] = -1e4
-        for k in range(2, TAGS, 2):
-            self.barred[[k - 1, k], k] = 0
-        self.barred_start = np.zeros(TAGS)
-        self.barred_start[2::2] = -1e4
-
-    def _one_way(self, ids: np.ndarray, side: str, keep: bool):
-        n, size = ids.shape
-        h = self.hidden
-        x, w, b = self.p["x" + side], self.p["h" + side], self.p["c" + side]
-        state, cell = np.zeros((n, h)), np.zeros((n, h))
-        out, kept = np.zeros((n, size, h)), []
-        for t in range(size) if side == "f" else range(size - 1, -1, -1):
-            gates = x[ids[:, t]] + state @ w + b
-            i, f, o = _sigmoid(gates[:, :h]), _sigmoid(gates[:, h : 2 * h]), _sigmoid(gates[:, 2 * h : 3 * h])
-            g = np.tanh(gates[:, 3 * h :])
-            old_state, old_cell = state, cell
-            cell = f * cell + i * g
-            squashed = np.tanh(cell)
-            state = o * squashed
-            out[:, t] = state
-            if keep:
-                kept.append((t, i, f, o, g, old_state, old_cell, squashed))
-        return out, kept
-
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._one_way(ids, s, False)[0] for s in "fb"], 2)
-        return both @ self.p["o"] + self.p["ob"]
-
-    def _gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        n, size = ids.shape
-        ways = {s: self._one_way(ids, s, True) for s in "fb"}
-        both = np.concatenate([ways["f"][0], ways["b"][0]], 2)
-        e = both @ self.p["o"] + self.p["ob"]
-        trans, start = self.p["t"] + self.barred, self.p["s"] + self.barred_start
-        alpha, beta = np.zeros((n, size, TAGS)), np.zeros((n, size, TAGS))
-        alpha[:, 0] = start + e[:, 0]
-        for t in range(1, size):
-            alpha[:, t] = _logsumexp(alpha[:, t - 1, :, None] + trans, 1) + e[:, t]
-        for t in range(size - 2, -1, -1):
-            beta[:, t] = _logsumexp(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        total = _logsumexp(alpha[:, -1], 1)
-        every, steps = np.arange(n)[:, None], np.arange(size)[None, :]
-        gold = e[every, steps, tags].sum(1) + start[tags[:, 0]] + trans[tags[:, :-1], tags[:, 1:]].sum(1)
-        d_e = np.exp(alpha + beta - total[:, None, None])
-        grad = {"s": d_e[:, 0].sum(0) - np.bincount(tags[:, 0], minlength=TAGS), "t": np.zeros((TAGS, TAGS))}
-        for t in range(1, size):
-            pair = alpha[:, t - 1, :, None] + trans + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None]
-            grad["t"] += np.exp(pair).sum(0)
-        np.add.at(grad["t"], (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1.0)
-        d_e[every, steps, tags] -= 1
-        grad["o"], grad["ob"] = np.tensordot(both, d_e, ((0, 1), (0, 1))), d_e.sum((0, 1))
-        d_both = d_e @ self.p["o"].T
-        h = self.hidden
-        for s, d_out in (("f", d_both[:, :, :h]), ("b", d_both[:, :, h:])):
-            w = self.p["h" + s]
-            d_x, d_w, d_c = np.zeros_like(self.p["x" + s]), np.zeros_like(w), np.zeros(4 * h)
-            d_state, d_cell = np.zeros((n, h)), np.zeros((n, h))
-            for t, i, f, o, g, old_state, old_cell, squashed in reversed(ways[s][1]):
-                d = d_state + d_out[:, t]
-                d_cell = d_cell + d * o * (1 - squashed**2)
-                d_gates = np.concatenate([d_cell * g * i * (1 - i), d_cell * old_cell * f * (1 - f), d * squashed * o * (1 - o), d_cell * i * (1 - g**2)], 1)
-                d_cell = d_cell * f
-                d_w += old_state.T @ d_gates
-                d_c += d_gates.sum(0)
-                np.add.at(d_x, ids[:, t], d_gates)
-                d_state = d_gates @ w.T
-            grad["x" + s], grad["h" + s], grad["c" + s] = d_x, d_w, d_c
-        return float((total - gold).mean()), {k: v / n for k, v in grad.items()}
-
-    def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.02, seed: int = SEED) -> list[float]:
-        """Adam on the CRF's negative log-likelihood; the mean loss of each pass."""
-        draw = np.random.default_rng(seed)
-        first, second, step, losses = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0, []
-        for epoch in range(epochs):
-            order, seen = draw.permutation(len(ids)), []
-            for at in range(0, len(ids), batch):
-                pick = order[at : at + batch]
-                loss, grad = self._gradients(ids[pick], tags[pick])
-                seen.append(loss)
-                step += 1
-                norm = np.sqrt(sum((g**2).sum() for g in grad.values()))
-                pace = rate * (1 - 0.8 * epoch / max(1, epochs - 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / (norm + 1e-12))
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)
-            losses.append(float(np.mean(seen)))
-        return losses
-
-    def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tags for one stretch of emissions."""
-        trans, score = self.p["t"] + self.barred, self.p["s"] + self.barred_start + e[0]
-        back = np.zeros(e.shape, np.int64)
-        for t in range(1, len(e)):
-            way = score[:, None] + trans
-            back[t] = way.argmax(0)
-            score = way[back[t], np.arange(TAGS)] + e[t]
-        tags = np.zeros(len(e), np.int64)
-        tags[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        return tags
-
-
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at-sign, ascending; windows stand at multiples of the stride."""
-    starts: dict[int, None] = {}
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in _TRIGGER.finditer(text):
-        block = m.start() // STRIDE
-        for k in (block - 1, block):
-            if 0 <= k <= last:
-                starts[k * STRIDE] = None
-    return list(starts)
-
-
-_MIDDLE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
-
-
-def model_spans(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[Span]]:
-    """The network's spans in each text."""
-    ids = [char_ids(text) for text in texts]
-    places = [(i, start) for i, text in enumerate(texts) for start in windows_of(text)]
-    out: list[list[Span]] = [[] for _ in texts]
-    runs: list[list] = []  # [text, start, weighted sums, weights]
-    for at in range(0, len(places), batch):
-        part = places[at : at + batch]
-        block = np.full((len(part), WINDOW), PAD, np.int64)
-        for r, (i, start) in enumerate(part):
-            own = ids[i][start : start + WINDOW]
-            block[r, : len(own)] = own
-        for (i, start), e in zip(part, tagger.emissions(block), strict=True):
-            e = e[: len(ids[i]) - start]
-            weight = _MIDDLE[: len(e)]
-            if runs and runs[-1][0] == i and start < runs[-1][1] + len(runs[-1][3]):
-                _, begin, sums, weights = runs[-1]
-                more = start + len(e) - begin - len(weights)
-                if more > 0:
-                    sums, weights = np.concatenate([sums, np.zeros((more, TAGS))]), np.concatenate([weights, np.zeros(more)])
-                sums[start - begin : start - begin + len(e)] += e * weight[:, None]
-                weights[start - begin : start - begin + len(e)] += weight
-                runs[-1][2:] = sums, weights
-            else:
-                runs.append([i, start, e * weight[:, None], weight.copy()])
-    for i, start, sums, weights in runs:
-        out[i] += spans_of(tagger.decode(sums / weights[:, None]), start)
-    return out
+# What the network learns from
 
 
-def all_spans(base: list[Span], added: list[Span], text: str) -> list[Span]:
-    """Base spans and those of the network that touch none of them and have the form of their kind."""
-    fits = [(k, a, b) for k, a, b in added if well_formed(k, text[a:b]) and not any(a < d and c < b for _, c, d in base)]
-    return in_order(base + fits)
+def label_spans(text: str) -> list[Span]:
+    """Labels of a sampled piece: the pattern spans, and what a closer look at the same text finds."""
+    found = base_spans(text)
+    more = [("secret", *m.span(1)) for m in _SECRET.finditer(text)] + [("phone", *m.span()) for m in _PHONE_WITHIN.finditer(text)]
+    more += [("card", *m.span()) for m in _CARD_WITHIN.finditer(text) if luhn(_digits(m.group()))] + [("email", *m.span()) for m in _OBFUSCATED.finditer(text)]
+    for kind, a, b in more:
+        if not any(a < d and c < b for _, c, d in found):
+            found.append((kind, a, b))
+    return in_order(found)
 
 
-def drawn_windows(n: int, contexts: list[str], seed: int = SEED) -> list[tuple[str, list[Span]]]:
-    """Texts with spans of the four kinds in several spellings, and with look-alikes that are none, amid the given contexts."""
+def drawn_pieces(n: int, contexts: list[str], seed: int = SEED) -> list[tuple[str, list[Span]]]:
+    """Texts with one or two spans of the five kinds in several spellings, or with look-alikes that are none, amid the given contexts."""
     draw = np.random.default_rng(seed)
     number = lambda size: "".join(map(str, draw.integers(0, 10, size)))
-    word = lambda: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), int(draw.integers(2, 9))))
-
-    def card() -> str:
-        body = str(draw.integers(3, 7)) + number(int(draw.integers(12, 15)))
-        digits = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-        sep = str(draw.choice(["", "", "", " ", "-", "."]))
-        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    letters = lambda alphabet, low, high: "".join(draw.choice(list(alphabet), int(draw.integers(low, high))))
+    word = lambda: letters("abcdefghijklmnopqrstuvwxyz", 2, 9)
+    pick = lambda *options: options[int(draw.integers(len(options)))]
+
+    def email() -> str:
+        user, host, top = f"{word()}{pick('.', '_', '', '-')}{pick(word(), number(2))}", f"{word()}{pick('', number(1))}", pick("com", "example.com", "org", "net", "co.uk")
+        at, dot = pick(("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", "."))
+        return f"{user}{at}{host}{dot}{top.replace('.', dot)}"
+
+    def address() -> str:
+        if draw.integers(3):
+            return ".".join(str(x) for x in draw.integers(0, 256, 4))
+        groups = [f"{x:x}" for x in draw.integers(0, 1 << 16, 8)]
+        return ":".join(groups) if draw.integers(2) else ":".join(groups[:3]) + "::" + ":".join(groups[3:5])
+
+    def card(valid: bool = True) -> str:
+        body = str(draw.integers(3, 7)) + number(int(pick(14, 14, 14, 12, 13)))
+        digits = next(body + str(d) for d in draw.permutation(10).tolist() if luhn(body + str(d)) == valid)
+        return pick("", "", "", " ", "-", ".").join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def phone() -> str:
         area, mid, end = number(3), number(3), number(4)
-        return str(draw.choice([f"+1 ({area}) {mid}-{end}", f"({area}) {mid}-{end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"+{number(2)} {area} {mid}{end}", f"1-{area}-{mid}-{end}"]))
-
-    makers = {
-        "email": lambda: f"{word()}{draw.choice(['.', '_', '', '-'])}{draw.choice([word(), number(2)])}@{word()}{number(1)}.{draw.choice(['example.com', 'org', 'net', 'co.uk'])}",
-        "ip": lambda: ".".join(str(x) for x in draw.integers(0, 256, 4)),
-        "card": card,
-        "phone": phone,
-        "": lambda: str(draw.choice([f"{word()}={number(4)}{word()}{number(6)}", f"AKIA{word().upper()}{number(3)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(1)}.{number(1)}.{number(2)}", f"{number(3)},{number(3)}", f"{word()}@{word()}", number(int(draw.integers(1, 11))), f"{number(2)}%", f"{word()}{number(3)}"])),
-    }
+        return pick(f"+1 ({area}) {mid}-{end}", f"+1 ({area}) {mid}-{end}", f"({area}) {mid}-{end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"+{number(2)} {area} {mid}{end}", f"1-{area}-{mid}-{end}")
+
+    def secret() -> tuple[str, str]:
+        value = pick(letters("0123456789abcdef", 32, 65), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 49), "AKIA" + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 17), letters("0123456789ABCDEF", 32, 65))
+        name = pick("token", "secret", "api_key", "password", "TOKEN", "access_key", "Token", "auth_token", "client_secret")
+        return f"{name}{pick(' = ', '=', ': ')}{pick(chr(34), chr(34), chr(39), '')}", value
+
+    def alike() -> str:
+        return pick(f"{word()}={number(4)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(4)}-{number(2)}-{number(2)} {number(2)}:{number(2)}:{number(2)}", f"{number(1)}.{number(1)}.{number(2)}", f"{number(3)},{number(3)}", f"{word()}@{word()}", number(int(draw.integers(1, 11))), f"{number(2)}%", f"{word()}{number(3)}", card(False), card(False), f"{number(2)}:{number(2)}", f"the {word()} token of {word()}", f"{word()} at {word()} dot {word()}", f"{number(3)} {number(3)} {number(2)}")
+
     out = []
     for i in range(n):
-        kind = [*KINDS, ""][i % 5]
-        piece, context = makers[kind](), str(draw.choice(contexts)) if contexts else f"{word()} {word()} {word()} {word()} {word()}, {word()} {word()}."
-        before = " ".join(context.split()[: int(draw.integers(1, 5))])[-24:] + " "
-        text = before + piece + str(draw.choice([" ", ". ", ", "])) + " ".join(context.split()[-5:])
-        out.append((text, [(kind, len(before), len(before) + len(piece))] if kind else []))
+        kind = [*LEARNED, ""][i % 6]
+        context = pick(*contexts) if contexts else " ".join(word() for _ in range(7)) + "."
+        words = context.split() or [word()]
+        text = " ".join(words[: int(draw.integers(0, 6))])[-40:]
+        text += " " if text else ""
+        spans: list[Span] = []
+        for kind in (kind, pick("email", "ip", "card", "phone", "secret", ""))[: 1 + int(draw.integers(2))]:
+            lead, piece = secret() if kind == "secret" else ("", {"email": email, "ip": address, "card": card, "phone": phone, "": alike}[kind]())
+            text += lead
+            if kind:
+                spans.append((kind, len(text), len(text) + len(piece)))
+            text += piece + (lead[-1] if lead[-1:] in (chr(34), chr(39)) else "") + pick(" ", " ", " ", ". ", ", ", "!! ", "### ", " | ")
+        out.append((text + " ".join(words[-5:]), spans))
     return out
 
 
-def train_tagger(sample: list[str], drawn: int = DRAWN, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
-    """A tagger that learned from the pattern spans in every window of the sampled texts and from drawn examples.
-
-    Time and memory grow with the windows of the sample.
-    """
-    examples: list[tuple[str, list[Span], int]] = []
-    contexts = []
-    for text in sample:
-        spans = base_spans(text)
-        starts = windows_of(text)
-        examples += [(text, spans, start) for start in starts]
-        contexts += [t for start in starts if len(t := _TRIGGER.sub("", text[start : start + WINDOW])) > 30]
-    examples += [(text, spans, 0) for text, spans in drawn_windows(drawn, sorted(set(contexts)), seed)]
-    ids, tags = np.full((len(examples), WINDOW), PAD, np.int64), np.zeros((len(examples), WINDOW), np.int64)
-    for r, (text, spans, start) in enumerate(examples):
-        piece = text[start : start + WINDOW]
-        ids[r, : len(piece)] = char_ids(piece)
-        tags[r, : len(piece)] = tag_ids(spans, start, len(piece))
-    tagger = Tagger(seed=seed)
+def train_tagger(sampled: list[str], drawn: int = DRAWN, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
+    """A tagger that learned from sampled pieces, by their labels, and from drawn ones."""
+    contexts = [t for text in sampled if not _LOOSE.search(text) and len(t := text.strip()) > 30]
+    examples = [(text, label_spans(text)) for text in sampled] + drawn_pieces(drawn, contexts, seed)
+    size = max(32, *(len(text) for text, _ in examples))
+    ids, tags = np.full((len(examples), size), PAD, np.int64), np.zeros((len(examples), size), np.int64)
+    for r, (text, spans) in enumerate(examples):
+        ids[r, : len(text)] = char_ids(text)
+        tags[r, : len(text)] = tag_ids(spans, LEARNED, 0, len(text))
+    tagger = Tagger(LEARNED, seed=seed)
     tagger.train(ids, tags, epochs, seed=seed)
     return tagger
 
 
-def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_DOCS, epochs: int = EPOCHS) -> Tagger:
-    """Learn from at most ``most`` documents that hold a digit or an at-sign, chosen by a hash of their text."""
-    text = F.col(text_col)
-    sample = docs.where(text.rlike("[0-9@]")).select(text.alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(most)
-    return train_tagger([t for t, _ in sample.collect()], epochs=epochs)
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, whether it holds a digit or an at-sign) of the pieces of all texts; no piece cuts a character."""
+    sizes = np.diff(offsets)
+    counts = -(-sizes // PIECE)
+    starts = np.repeat(offsets[:-1], counts) + PIECE * (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
+    ends = np.minimum(starts + PIECE, np.repeat(offsets[1:], counts))
+    held = np.append(data, np.uint8(0))
+    for _ in range(3):  # a character has at most three more bytes after its first
+        starts, ends = (x + ((held[x] & 0xC0) == 0x80) for x in (starts, ends))
+    sums = np.concatenate([[0], np.cumsum(_MARK[data])])
+    return starts, ends, sums[ends] > sums[starts]
+
+
+def sample_pieces(docs: DataFrame, text_col: str = "text", marked: int = MARKED, plain: int = PLAIN) -> list[str]:
+    """About ``marked`` distinct pieces with a digit or an at-sign and ``plain`` without, drawn by hash from the pieces of all texts.
+
+    The shares follow from a count of all pieces, so no task sends more than its part; what arrives is cut to the bounds, by hash.
+    """
+    texts = docs.select(F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                has = _pieces(data, offsets)[2]
+                n += (len(has) - has.sum(), has.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in n], names=["plain", "marked"])
+
+    there = texts.mapInArrow(tidied(count), "plain long, marked long").agg(F.sum("plain"), F.sum("marked")).first()
+    wanted = (plain, marked)
+    shares = [min(1.0, 1.2 * w / max(1, n or 0)) for w, n in zip(wanted, there, strict=True)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                starts, ends, has = _pieces(data, offsets)
+                hashes = span_hashes(data, starts, ends, lower=False)
+                on = np.flatnonzero((hashes >> np.uint64(11)) / float(1 << 53) < np.where(has, shares[1], shares[0]))
+                said = [data[a:b].tobytes().decode() for a, b in zip(starts[on].tolist(), ends[on].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(has[on]), pa.array(hashes[on].view(np.int64)), pa.array(said, pa.string())], names=["has", "hash", "piece"])
+
+    found = texts.mapInArrow(tidied(draw), "has boolean, hash long, piece string").distinct().collect()
+    return [r.piece for has in (False, True) for r in sorted((r for r in found if r.has == has), key=lambda r: (r.hash, r.piece))[: wanted[has]]]
+
+
+def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> Tagger:
+    """Learn from a bounded sample of the pieces of all texts, and from drawn pieces."""
+    return train_tagger(sample_pieces(docs, text_col), epochs=epochs)
+
+
+# Reading
+
+
+def _found(tagger: Tagger, texts: pa.Array) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
+    """(row, text, pattern spans, all spans) of each text that is not empty."""
+    for lo, hi, data, offsets in text_chunks(texts, CHUNK):
+        held = texts.slice(lo, hi - lo).to_pylist()
+        sums = np.concatenate([[0], np.cumsum(_MARK[data])])
+        marked = sums[offsets[1:]] > sums[offsets[:-1]]  # every pattern span holds a digit or an at-sign
+        for i, (text, added) in enumerate(zip(held, tagger.spans(held), strict=True)):
+            base = base_spans(text) if marked[i] else []
+            if text:
+                yield lo + i, text, base, all_spans(base, added, text) if added else base
 
 
 def find_spans(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (pattern spans), base_sha256 and spans (all spans) of every whole text."""
+    """doc_id, n_email, n_ip, n_card, n_phone (pattern spans), base_sha256, spans (all spans), n_added (those of the network) of every whole text."""
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger = np.zeros(256, bool)
-        trigger[[*range(48, 58), 64]] = True
         for batch in batches:
-            texts = strings(batch.column(1))
-            for lo, hi, data, offsets in text_chunks(texts):
-                n = hi - lo
-                counts, digests, said = np.zeros((4, n), np.int64), [empty] * n, [""] * n
-                sums = np.concatenate([[0], np.cumsum(trigger[data])])
-                rows = np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]]).tolist()
-                held = [texts[lo + r].as_py() for r in rows]
-                for r, text, added in zip(rows, held, model_spans(tagger, held), strict=True):
-                    base = base_spans(text)
-                    for kind, _, _ in base:
-                        counts[KINDS.index(kind), r] += 1
+            n = batch.num_rows
+            counts, digests, said, added = np.zeros((4, n), np.int64), [empty] * n, [""] * n, np.zeros(n, np.int64)
+            for r, _, base, every in _found(tagger, strings(batch.column(1))):
+                for kind, _, _ in base:
+                    counts[KINDS.index(kind), r] += 1
+                if base:
                     digests[r] = hashlib.sha256(joined(base).encode()).hexdigest()
-                    said[r] = joined(all_spans(base, added, text))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(said, pa.string())],
-                    names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
-                )
+                said[r], added[r] = joined(every), len(every) - len(base)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(said, pa.string()), pa.array(added)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return picked.mapInArrow(tidied(run), f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
@@ -444,11 +336,11 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            rows = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-            for i, added in zip(rows, model_spans(tagger, [texts[i] for i in rows]), strict=True):
-                texts[i] = replaced(texts[i], all_spans(base_spans(texts[i]), added, texts[i]))
+            for r, text, _, every in _found(tagger, strings(batch.column(at))):
+                if every:
+                    texts[r] = replaced(text, every)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
