@@ -1,10 +1,12 @@
 """Quality classification by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of target text (labelled good), one of the raw corpus. A document's log
-importance weight is the log ratio of the two for its features; adding Gumbel noise and keeping the k greatest keys samples k
-documents without replacement in proportion to their weights. So that long documents are not all or nothing, a document's weight is
-that of one of standard length with the same mean log ratio. k is not a quota chosen beforehand: it is the number of documents whose
-weight exceeds the border that best parts the labelled rows, so it follows the corpus.
+importance weight is the log ratio of the two for its features, averaged over them so that long documents are not all or nothing, at a
+temperature; adding Gumbel noise and keeping the k greatest keys samples k documents without replacement in proportion to their weights.
+
+The temperature is set by the labelled rows: 0 lies at the border that best parts them, and the median of the good ones ``LEAD`` nats
+above it. So documents far from the border are kept or rejected almost surely, and the draw decides near it. k is not read off that border:
+it is the number of good documents to be expected in the corpus, the sum of the logistic of all weights.
 
 The raw model counts every document whole. Only labelled rows are sampled, by a hash of their id, up to ``LABELLED`` rows: one half
 teaches the target model, the other half, whose words the model has not seen, sets the border.
@@ -12,8 +14,8 @@ teaches the target model, the other half, whose words the model has not seen, se
 Features are words and pairs of words, where a word is a maximal run of one kind of character (letters and other bytes from 0x80,
 digits, marks), lower-cased. Noise comes from a hash of the id, so every run draws the same sample.
 
-Defined results: null and empty texts have weight 0 times no features, that is 0; rows of equal id and text get equal keys and are
-kept or rejected together, as are all ties at the k-th key; without labelled rows of both kinds everything is kept; null ids draw
+Defined results: null and empty texts have no features, and the weight of a mean log ratio of 0; rows of equal id and text get equal keys and are
+kept or rejected together, as are all ties at the k-th key; without labelled rows of both kinds, or where the good ones do not lie above the border, everything is kept; null ids draw
 like id 0; other columns are ignored; an empty table gives no rows.
 """
 
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import _SPACE, mix, span_hashes, strings, text_chunks, uniform
+from graphloom.llm.common import _SPACE, mix, span_hashes, strings, text_chunks, tidied, uniform
 from graphloom.session import stored
 
 BUCKETS, LABELLED, SMOOTHING, SEED = 1 << 16, 20_000, 4.0, 7
-#: Weights are those of a document of so many features with the same mean; the border counts a good document lost as so many bad passed.
-STANDARD, LOST = 1000, 3.0
+#: Nats between the border and the median good labelled document; the border counts a good document lost as so many bad passed.
+LEAD, LOST = 6.0, 3.0
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -61,15 +63,20 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
 
 @dataclass
 class Ratio:
-    """Log ratio of target and raw by bucket, and the border between good and bad weights."""
+    """Log ratio of target and raw by bucket, its temperature (as a factor) and the weight of a mean of 0; ``scale`` 0 keeps everything."""
 
     weights: np.ndarray
-    border: float
+    scale: float = 1.0
+    shift: float = 0.0
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         found, rows = features(data, offsets, len(self.weights))
         n = len(offsets) - 1
-        return STANDARD * np.bincount(rows, self.weights[found], minlength=n) / np.maximum(1, np.bincount(rows, minlength=n))
+        return self.scale * np.bincount(rows, self.weights[found], minlength=n) / np.maximum(1, np.bincount(rows, minlength=n)) + self.shift
+
+    def keys(self, weights: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
+        """Weights with Gumbel noise."""
+        return weights - np.log(-np.log(uniform(ids, seed)))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -106,7 +113,7 @@ def _bucket_counts(texts: DataFrame, group: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int64)), pa.array(at), pa.array(n[at])], names=["g", "bucket", "n"])
 
-    return texts.select(F.col(group).cast("long").alias("g"), "text").mapInArrow(count, "g long, bucket long, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
+    return texts.select(F.col(group).cast("long").alias("g"), "text").mapInArrow(tidied(count), "g long, bucket long, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,12 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
     for counts, texts, group in ((raw, everything, "g"), (target, sample.where(teaches & (F.col("good") == 1)), "good")):
         for _, bucket, n in _bucket_counts(texts, group).collect():  # at most BUCKETS rows
             counts[bucket] += n
-    if not target.sum():
-        return Ratio(np.zeros(BUCKETS), -math.inf)
-    model = Ratio(log_ratio(target, raw), 0.0)
+    model = Ratio(log_ratio(target, raw))
     judged = sample.where(~teaches)
-    by = {g: np.array([w for (w,) in weigh(judged.where(F.col("good") == g), model).select("log_weight").collect()]) for g in (0, 1)}  # at most ``most`` rows
-    return Ratio(model.weights, border_between(by[1], by[0]))
+    good, bad = (np.array([w for (w,) in weigh(judged.where(F.col("good") == g), model).select("log_weight").collect()]) for g in (1, 0))  # at most ``most`` rows
+    return tempered(model, good, bad) if target.sum() else Ratio(model.weights, 0.0)
+
+
+def tempered(model: Ratio, good: np.ndarray, bad: np.ndarray) -> Ratio:
+    """``model`` at the temperature that the means of labelled documents ask for."""
+    border = border_between(good, bad)
+    above = float(np.median(good)) - border if math.isfinite(border) else 0.0
+    return Ratio(model.weights, LEAD / above, -LEAD / above * border) if above > 0 else Ratio(model.weights, 0.0)
+
+
+def sample_size(weighed: DataFrame, model: Ratio) -> int:
+    """The number of good documents to be expected: the sum of the logistic of all weights (in whole millionths, so that its order does not matter)."""
+    if not model.scale:
+        return weighed.count()
+    share = F.round(1e6 / (1 + F.exp(-F.col("log_weight")))).cast("long")
+    return round((weighed.agg(F.sum(share)).first()[0] or 0) / 1e6)
 
 
 def weigh(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -140,11 +160,11 @@ def weigh(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str =
             ids = np.array(batch.column(0).fill_null(0)).astype(np.int64)
             for lo, hi, data, offsets in text_chunks(strings(batch.column(1))):
                 weights = model(data, offsets)
-                keys = weights - np.log(-np.log(uniform(ids[lo:hi], seed)))
+                keys = model.keys(weights, ids[lo:hi], seed)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(weights), pa.array(keys)], names=["doc_id", "log_weight", "key"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, log_weight double, key double")
+    return picked.mapInArrow(tidied(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, log_weight double, key double")
 
 
 def kth_greatest(rows: DataFrame, column: str, k: int, parts: int = 4096) -> float:
@@ -178,22 +198,21 @@ def resample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """doc_id, log_weight, key and kept of every document."""
     model = fit(docs, labels, label_col, most, id_col, text_col)
     weighed = stored(weigh(docs, model, id_col, text_col, seed), "quality-weights")
-    k = weighed.where(F.col("log_weight") > model.border).count()
-    return weighed.withColumn("kept", F.col("key") >= kth_greatest(weighed, "key", k))
+    return weighed.withColumn("kept", F.col("key") >= kth_greatest(weighed, "key", sample_size(weighed, model)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED, seed: int = SEED) -> DataFrame:
     """The kept rows of ``docs`` with all their columns. Keys are computed again where the rows stand, so no text is shuffled."""
     model = fit(docs, labels, label_col, most, id_col, text_col)
     weighed = stored(weigh(docs, model, id_col, text_col, seed), "quality-weights")
-    least = kth_greatest(weighed, "key", weighed.where(F.col("log_weight") > model.border).count())
+    least = kth_greatest(weighed, "key", sample_size(weighed, model))
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(at_id).fill_null(0)).astype(np.int64)
             for lo, hi, data, offsets in text_chunks(strings(batch.column(at_text))):
-                keys = model(data, offsets) - np.log(-np.log(uniform(ids[lo:hi], seed)))
+                keys = model.keys(model(data, offsets), ids[lo:hi], seed)
                 yield batch.slice(lo, hi - lo).filter(pa.array(keys >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -356,6 +356,73 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert kept[1] > 0.98 and kept[0] < 0.1
 
 
+def plain_features(text):
+    """Words and pairs of words, one at a time: runs of letters, of digits or of marks, lower-cased."""
+    raw = (text or "").encode()
+    kind = lambda b: 0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isascii() and chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 3
+    tokens, at = [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and kind(raw[end]) == kind(raw[at]):
+            end += 1
+        if kind(raw[at]):
+            tokens.append(raw[at:end].lower())
+        at = end
+    own = [int(common.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in tokens]
+    pairs = [int(common.mix(np.array([(3 * a + b) % 2**64], np.uint64))[0]) for a, b in zip(own, own[1:])]
+    return [h % quality.BUCKETS for h in own + pairs]
+
+
+def test_quality_query_equals_brute_force(spark, docs, plain):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    found = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    side = {r.doc_id: r.half for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half")).collect()}
+    good = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    features = {i: Counter(plain_features(t)) for i, t, _ in plain}
+    raw, target = Counter(), Counter()
+    for i, f in features.items():
+        raw += f
+        if side[i] and good.get(i) == 1:
+            target += f
+    rate = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: math.log(target[b] + quality.SMOOTHING) - math.log(raw[b] * rate + quality.SMOOTHING)
+    mean = {i: sum(n * ratio(b) for b, n in f.items()) / max(1, sum(f.values())) for i, f in features.items()}
+    judged = {g: np.array([mean[i] for i in mean if not side[i] and good.get(i) == g]) for g in (0, 1)}
+    border = quality.border_between(judged[1], judged[0])
+    weight = {i: quality.LEAD * (m - border) / (float(np.median(judged[1])) - border) for i, m in mean.items()}
+    key = {i: w - math.log(-math.log(float(common.uniform(np.array([i]), quality.SEED)[0]))) for i, w in weight.items()}
+    k = round(sum(1 / (1 + math.exp(-w)) for w in weight.values()))
+    least = sorted(key.values(), reverse=True)[k - 1]
+    assert 0 < k < len(key)
+    for i, r in found.items():
+        assert r.log_weight == pytest.approx(weight[i], abs=1e-6) and r.key == pytest.approx(key[i], abs=1e-6) and r.kept == (key[i] >= least)
+
+
+def test_inclusion_follows_the_weights():
+    """Gumbel top-k draws without replacement in proportion to the weights: a level's share kept is 1 - exp(-exp(weight - t)) for one t."""
+    model, levels, each = quality.Ratio(np.zeros(1)), np.array([-3.0, -1.0, 0.0, 1.0, 3.0]), 4000
+    weights = np.repeat(levels, each)
+    keys = model.keys(weights, np.arange(len(weights)), 7)
+    k = len(weights) // 2
+    kept = (keys >= np.sort(keys)[-k]).reshape(len(levels), each).mean(1)
+    t = min(np.linspace(-5, 5, 2001), key=lambda t: abs((1 - np.exp(-np.exp(levels - t))).mean() - 0.5))
+    assert kept == pytest.approx(1 - np.exp(-np.exp(levels - t)), abs=0.03) and (np.diff(kept) > 0.05).all()
+
+
+def test_the_draw_matters_near_the_border(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = quality.resample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    k = sum(r.kept for r in rows)
+    plainly = sorted(rows, key=lambda r: -r.log_weight)[:k]
+    assert k - sum(r.kept for r in plainly) >= 5
+
+
+def test_quality_without_labels_keeps_everything(odd):
+    labels = odd.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.keep(odd, labels).count() == quality.keep(odd, labels.limit(0)).count() == len(ROWS)
+    assert all(r.kept for r in quality.resample(odd, labels).collect())
+
+
 def test_kth_greatest(spark):
     values = [float(v) for v in np.random.default_rng(0).normal(0, 100, 3000)] + [5.0] * 50
     df = spark.createDataFrame([(v,) for v in values], "v double")
