@@ -6,9 +6,11 @@ the mantissa bits that follow. Empty registers borrow from filled ones by fixed
 pairs far below the threshold; the rest are confirmed on the full sets.
 
 Documents of equal sets are one class from the start, and only classes are compared. In a bucket of the band index every member is
-first paired with the least one, which leaves most buckets with one component and nothing to learn. Buckets that still hold several
-components compare their members in blocks of bounded size, confirm what passes the estimate on the full sets there and then, and
-report only links that join two components of the block. No bucket is capped, sampled or listed pair by pair.
+first paired with the least one, which leaves most buckets with one component and nothing to learn. In buckets that still hold several
+components only the members outside the most frequent one are compared, with each other and with the rest, in blocks of bounded size;
+what passes the estimate is confirmed on the full sets there and then, and only links that join two components of the block are
+reported. A member of the most frequent component is copied once for each block of the others, so a bucket of one large group and a few
+strangers costs little more than its size. No bucket is capped, sampled or listed pair by pair.
 
 Defined results: texts without words have no shingles and link to nothing; null texts count as empty; texts with fewer words than a
 shingle are one shingle; rows with null ids keep a null component and are kept; rows that share an id and differ in text are told apart
@@ -197,15 +199,19 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _within_blocks(rows: DataFrame) -> DataFrame:
+def _within_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) between different components of one bucket, by component, enough to join all that its members' links join.
 
-    ``rows``: key, size, class_id, comp, n, bands, filled, shingles. A bucket's members are dealt to blocks, and each pair of blocks is
-    one run of rows in some partition; a pair is looked at only in the first band that its members share.
+    ``rows``: key, class_id, comp, n, bands, filled, shingles; ``sizes``: key, most (its most frequent component), many (that one's
+    members) and size (all). Members outside the most frequent component are dealt to the first blocks, the others to those after; pairs
+    of blocks of which at least one is a first one are a run of rows in some partition each. A pair is looked at only in the first band
+    that its members share.
     """
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    few, held = F.col("comp") != F.col("most"), rows.join(sizes, "key")
+    held = held.withColumns({"first": F.ceil((F.col("size") - F.col("many")) / F.lit(BLOCK)).cast("int"), "rest": F.ceil(F.col("many") / F.lit(BLOCK)).cast("int")})
+    place = F.xxhash64("class_id")
+    own = F.when(few, F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.col("rest"))).cast("int")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("first") - 1 + F.when(few, F.col("rest")).otherwise(0))))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled", "shingles")
     keys = ["key", "i", "j"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -292,11 +298,13 @@ def sketches_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: s
     # Buckets of three or more that still hold several components: there are pairs that no star has tested.
     comps = cut(connected_components(first, "a", "b"))
     in_comp = stored(classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("component", "class_id")).drop("component"), "near-members")
-    members = stored(in_comp.select("class_id", "comp", F.explode("bands").alias("key")).join(leads.where("size > 2").select("key", "size"), "key"), "near-index")
-    open_buckets = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    rows = members.join(open_buckets, "key", "left_semi").select("key", "size", "class_id").join(in_comp.select("class_id", "comp", "n", "bands", "filled"), "class_id")
+    members = stored(in_comp.select("class_id", "comp", F.explode("bands").alias("key")).join(leads.where("size > 2").select("key"), "key"), "near-index")
+    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("many"), F.sum("c").alias("size")).where("many < size")
+    sizes = cut(sizes)
+    rows = members.join(sizes.select("key"), "key", "left_semi").select("key", "class_id").join(in_comp.select("class_id", "comp", "n", "bands", "filled"), "class_id")
     sets = _sets(docs, cut(rows.select(F.col("class_id").alias("doc_id")).distinct()))
-    second = _within_blocks(rows.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"))
+    second = _within_blocks(rows.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"), sizes)
     # The links found there join whole components, so only those are looked at again.
     joined = cut(connected_components(second, "a", "b"))
     named = in_comp.select("k1", "k2", "n", "comp").join(joined.withColumnRenamed("node", "comp"), "comp", "left")

@@ -96,17 +96,23 @@ def test_near_dedup_of_a_chain_in_one_bucket(spark):
     assert found == brute_components(rows)
 
 
-def test_block_comparison(spark, monkeypatch):
-    """Many members in few blocks: links across blocks join what they should, and none join what is apart."""
+@pytest.mark.parametrize("known", [0, 9])
+def test_block_comparison(spark, monkeypatch, known):
+    """Many members in few blocks: links across blocks join what they should, and none join what is apart. ``known`` members of the
+    first group are one component beforehand; they are not compared with each other."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     texts = [" ".join(f"g{g}w{i}" for i in range(200)).replace(f"g{g}w{k} ", "z ") for g in range(2) for k in range(5, 18)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = near_dedup.sketch(docs).select(F.lit(0).cast("long").alias("key"), F.lit(len(texts)).alias("size"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("comp"), "n", F.transform("bands", lambda b: F.lit(0).cast("long")).alias("bands"), "filled")
+    comp = F.when(F.col("doc_id") < known, 0).otherwise(F.col("doc_id")).cast("long")
+    key = F.lit(0).cast("long")
+    rows = near_dedup.sketch(docs).select(key.alias("key"), F.col("doc_id").alias("class_id"), comp.alias("comp"), "n", F.transform("bands", lambda b: key).alias("bands"), "filled")
     monkeypatch.setattr(near_dedup, "passes_estimate", lambda a, b, *rest: np.ones(len(a), bool))
-    links = near_dedup._within_blocks(rows.join(near_dedup._sets(docs, docs.select("doc_id")).withColumnRenamed("doc_id", "class_id"), "class_id")).collect()
+    sizes = spark.createDataFrame([(0, 0, max(1, known), len(texts))], "key long, most long, many long, size long")
+    sets = near_dedup._sets(docs, docs.select("doc_id")).withColumnRenamed("doc_id", "class_id")
+    links = near_dedup._within_blocks(rows.join(sets, "class_id"), sizes).collect()
     assert all((r.a < 13) == (r.b < 13) for r in links) and len(links) < 13 * 13
     joined = near_dedup.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "u long, v long"))
-    assert {r.node: r.component for r in joined.collect()} == {i: 13 * (i // 13) for i in range(26)}
+    assert {r.node: r.component for r in joined.collect()} == {i: 13 * (i // 13) for i in range(26) if not 0 < i < known}
 
 
 def test_sketch_estimates():
