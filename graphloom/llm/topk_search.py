@@ -1,15 +1,20 @@
-"""Exact top-k search by inner product with MaxScore over sharded impact lists.
+"""Exact top-k search by inner product with MaxScore over sharded inverted lists.
 
-A component of a query is a term. Its impacts on a shard's vectors are shifted to be at least 0 (by the least product that occurs in
-the shard), so each term has an upper bound, and vectors at a term's least product stand in no list of it. Terms whose bounds
-together cannot lift a vector over the current threshold are non-essential: the lists of the others are traversed first, and the
-rest are probed, largest bound first, only for vectors that can still compete. Shards return their own best and are merged.
+A component of a query is a term. Its impact on a vector is the product, less the least product that occurs in the shard, so impacts are
+never negative and each term has an upper bound; the posting list of a term holds the vectors with an impact above 0. A list with more
+than half of the shard's vectors, as in dense data, is kept as a column, which names its members by a value that is not the least.
 
-Candidates and queries are dealt in blocks of bounded size, each pair of blocks to one task. All arithmetic is on integers.
+The k-th score of some promising vectors is a first threshold. Terms are sorted by bound; the last ones, whose bounds together stay below
+the threshold, are non-essential. The lists of the others are traversed. A vector in none of them is never scored; the rest are probed
+for the non-essential terms, largest bound first, only while they can still compete, and the threshold rises with the scores. Shards
+return their own best and are merged.
+
+Candidates and queries are dealt in blocks of bounded size, each pair of blocks to one task: a copy of a candidate serves ``QUERY_ROWS``
+queries, so what is moved stays a small part of the work, which is queries times candidates. All arithmetic is on integers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with 0;
 ties go to the smaller id; a query never finds rows of its own id; repeated candidate rows are found as often as they occur, repeated
-query rows once; an empty table gives no rows.
+query rows once; columns other than id and vector are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, QUERY_ROWS = 16_384, 8_192
-#: Vectors scored in full for the first threshold, as a multiple of k.
-_PROBE = 4
+#: Vectors scored in full for the first threshold, as a multiple of k, and the lists that choose them.
+_PROBE, _FIRST = 4, 8
 
 
 def usable(vector: Column) -> Column:
@@ -41,51 +46,65 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Shard:
-    """Impact lists of one block of vectors, one list for each component, stored by component."""
+    """Inverted lists of one block of vectors, two for each component: one for queries with a positive weight there, one for negative."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.lists = ids[order], np.ascontiguousarray(vectors[order].T)
-        self.low, self.high = self.lists.min(1), self.lists.max(1)
+        self.ids, self.values = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.low, self.high = self.values.min(1), self.values.max(1)
+        #: (members, distance from the value of least impact) of the short lists.
+        self.short: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        for term, column in enumerate(self.values):
+            for up, least in ((True, self.low[term]), (False, self.high[term])):
+                members = np.flatnonzero(column != least)
+                if 2 * len(members) <= len(column):
+                    self.short[term, up] = members, np.abs(column[members] - least)
+
+    def traverse(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Add the impacts of these terms' lists."""
+        columns = np.array([(t, w > 0) not in self.short for t, w in zip(terms.tolist(), weights.tolist(), strict=True)], bool)
+        for term, weight in zip(terms[~columns].tolist(), weights[~columns].tolist(), strict=True):
+            members, distance = self.short[term, weight > 0]
+            sums[members] += abs(weight) * distance
+        if columns.any():
+            at, weight = terms[columns], weights[columns]
+            sums += weight @ self.values[at] - (weight * np.where(weight > 0, self.low[at], self.high[at])).sum()
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the shard's k best, best first."""
         terms = np.flatnonzero(query)
         weight = query[terms]
-        least = np.minimum(weight * self.low[terms], weight * self.high[terms])
-        bound = np.maximum(weight * self.low[terms], weight * self.high[terms]) - least
+        least = np.where(weight > 0, self.low[terms], self.high[terms])
+        bound = np.abs(weight) * (self.high[terms] - self.low[terms])
         order = np.argsort(-bound, kind="stable")
-        terms, weight, bound = terms[order], weight[order], bound[order]
-        # What the terms from position i on can add at most, above all least products together.
+        terms, weight, least, bound = terms[order], weight[order], least[order], bound[order]
+        # What the terms from position i on can add at most.
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0]])
-        base = int(least.sum())
-        shift = np.cumsum(np.concatenate([[0], least[order]]))
         other = self.ids != query_id
-        n, need = int(other.sum()), k
-        if n <= k:
-            alive, partial = np.flatnonzero(other), None
+        n = int(other.sum())
+        base = int((weight * least).sum())
+        if n <= k or not rest[0]:
+            alive = np.flatnonzero(other)
         else:
-            few = min(8, len(terms))
-            partial = weight[:few] @ self.lists[terms[:few]] if few else np.zeros(len(self.ids), np.int64)
-            probe = np.argpartition(-np.where(other, partial, partial.min() - 1), min(n, _PROBE * k) - 1)[: min(n, _PROBE * k)]
-            threshold = int(np.partition(weight @ self.lists[np.ix_(terms, probe)], -need)[-need])
-            # Essential terms: as many as it takes until the others alone stay below the threshold.
-            essential = max(few, int(np.searchsorted(-(base + rest), -threshold, "right")))
-            essential = min(essential, len(terms))
-            partial = partial + weight[few:essential] @ self.lists[terms[few:essential]] if essential > few else partial
-            upper = partial + (base - shift[essential]) + rest[essential]
-            alive = np.flatnonzero(other & (upper >= threshold))
-            partial, at = partial[alive], essential
-            while at < len(terms) and len(alive) > k:
-                step = min(len(terms), at + 4)
-                partial = partial + weight[at:step] @ self.lists[np.ix_(terms[at:step], alive)]
-                at = step
-                # Partial sums plus the least that is still to come: a better threshold.
-                floor = int(np.partition(partial, -need)[-need]) + base - int(shift[at])
-                threshold = max(threshold, floor)
-                on = partial + (base - shift[at]) + rest[at] >= threshold
-                alive, partial = alive[on], partial[on]
-        scores = weight @ self.lists[np.ix_(terms, alive)] if len(terms) else np.zeros(len(alive), np.int64)
+            sums, done = np.zeros(len(self.ids), np.int64), min(_FIRST, len(terms))
+            self.traverse(sums, terms[:done], weight[:done])
+            promising = np.argpartition(-np.where(other, sums, -1), min(n, _PROBE * k) - 1)[: min(n, _PROBE * k)]
+            threshold = int(np.partition(weight @ self.values[np.ix_(terms, promising)] - base, -k)[-k])
+            essential = int(np.searchsorted(-rest, -threshold, "right"))  # the first position from which all others stay below
+            if essential > done:
+                self.traverse(sums, terms[done:essential], weight[done:essential])
+                done = essential
+            # Only members of an essential list have a sum above 0, or nothing is essential and all may compete.
+            alive = np.flatnonzero(other & (sums + rest[done] >= threshold))
+            sums = sums[alive]
+            while done < len(terms) and len(alive) > k:
+                step = min(len(terms), done + 4)
+                sums = sums + weight[done:step] @ self.values[np.ix_(terms[done:step], alive)] - int((weight[done:step] * least[done:step]).sum())
+                done = step
+                threshold = max(threshold, int(np.partition(sums, -k)[-k]))
+                on = sums + rest[done] >= threshold
+                alive, sums = alive[on], sums[on]
+        scores = weight @ self.values[np.ix_(terms, alive)] if len(terms) else np.zeros(len(alive), np.int64)
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive[best]], scores[best]
 

@@ -591,6 +591,46 @@ def test_topk_equals_brute_force(spark):
             assert found[q] == [(i, -s) for s, i in sorted(scores)[:7]]
 
 
+@pytest.mark.parametrize("filled", [0.05, 0.6, 1.0])
+def test_maxscore_of_a_shard(filled):
+    draw = np.random.default_rng(int(100 * filled))
+    vectors = draw.integers(-40 if filled > 0.5 else 0, 40, (700, 24)) * (draw.random((700, 24)) < filled)
+    vectors[300:330] = vectors[5]  # ties
+    ids = draw.permutation(700)
+    shard = topk_search.Shard(ids, vectors)
+    assert bool(shard.short) == (filled < 0.5)
+    for q in [*range(0, 700, 23), 5, 310]:
+        scores = vectors @ vectors[q]
+        wanted = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q])[:20]
+        found = shard.top(int(ids[q]), vectors[q], 20)
+        assert [(-int(s), int(i)) for i, s in zip(*found)] == wanted
+
+
+def test_vectors_outside_essential_lists_are_never_scored():
+    vectors = np.zeros((1000, 12), np.int64)
+    vectors[:30, 0] = 50
+    vectors[:, 1:] = np.random.default_rng(0).integers(0, 2, (1000, 11))
+    shard, seen = topk_search.Shard(np.arange(1000), vectors), []
+    traverse = shard.traverse
+    shard.traverse = lambda sums, terms, weights: (seen.append(terms.tolist()), traverse(sums, terms, weights))
+    query = np.array([50, *[1] * 11])
+    assert shard.top(-1, query, 20)[1].min() > 2500 and sum(map(len, seen)) == topk_search._FIRST
+
+
+def test_topk_ignores_other_columns_and_finds_repeated_rows(spark):
+    rows = [(i % 40, [(7 * (i % 40)) % 11 - 5, i % 40 % 3]) for i in range(50)] + [(None, [1, 1]), (90, None), (91, [3])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<bigint>").withColumns({c: F.lit("x") for c in ("v", "shard", "block", "score", "rank", "query_id")})
+    found = topk_search.top_k(df.where("vec_id % 20 = 0"), df, k=8).collect()
+    plain = {}
+    for q, v in {(i, tuple(v)) for i, v in rows if i is not None and i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in rows if i is not None and c is not None and i != q)
+        plain.setdefault(q, []).append([(i, -s) for s, i in scored[:8]])
+    by = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append((r.vec_id, r.score))
+    assert all(len(v) == 1 for v in plain.values()) and {q: v[0] for q, v in plain.items()} == dict(by)
+
+
 def test_topk_without_rows(spark):
     df = spark.createDataFrame([(0, [1.0, None]), (20, [float("nan")]), (40, None), (60, [2.0])], "vec_id long, e array<float>")
     good = df.where(topk_search.usable(F.col("e"))).select("vec_id", F.transform("e", lambda x: F.floor(x)).alias("vector"))
