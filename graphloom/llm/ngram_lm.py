@@ -12,7 +12,9 @@ with their counts; one task builds one shard and writes it to the shared folder,
 Smoothing: interpolated absolute discounting with three discounts a level, estimated for each shard from its counts of counts. The
 lowest order is the add-one-half unigram estimate with one place for unknown words.
 
-The shared folder must be mounted as a path on driver and executors, as memory mapping asks for files.
+Shards lie in the shared folder, whatever store that is. Where it is mounted as a path they are mapped from there; otherwise a machine
+fetches the shards that its tasks ask for into a local cache, which is lost with the machine and fetched again by the next. A task opens
+a shard when a block of texts first asks it. The driver holds one number for each shard, and one shard of the vocabulary at a time.
 
 Defined results: null text counts as empty, which is one end token; repeated rows repeat; other columns are ignored; without training
 rows every word is unknown; an empty table gives no rows; null ids count as training rows.
@@ -20,8 +22,11 @@ rows every word is unknown; an empty table gives no rows; null ids count as trai
 
 from __future__ import annotations
 
-import glob
+import ast
+import hashlib
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -29,11 +34,12 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import strings, text_chunks, word_hashes
-from graphloom.session import new_path
+from graphloom.llm.common import strings, text_chunks, tidied, word_hashes
+from graphloom.session import dropped_at_exit, new_path
 
 ORDER = 3
 #: Words handled at once, words of text for each shard, and the range of -log10 that 8 bits hold for probabilities and weights.
@@ -149,38 +155,61 @@ class EliasFano:
         return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ranks"])
 
 
-def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file of named arrays, put in place at once; a repeated task writes the same again."""
-    rough = f"{path}.{uuid.uuid4().hex}"
+def packed(arrays: dict[str, np.ndarray]) -> Iterator[bytes]:
+    """Named arrays as one file: a head of names, types and places, then the arrays."""
     head, at = [], 0
     for name, array in arrays.items():
         head.append((name, array.dtype.str, len(array), at))
         at += -(-array.nbytes // 8) * 8
-    with open(rough, "wb") as out:
-        text = repr(head).encode()
-        text += b" " * (-(len(text) + 8) % 8)
-        out.write(len(text).to_bytes(8, "little") + text)
-        for array in arrays.values():
-            out.write(array.tobytes() + b"\0" * (-array.nbytes % 8))
-    os.replace(rough, path)
+    text = repr(head).encode()
+    text += b" " * (-(len(text) + 8) % 8)
+    yield len(text).to_bytes(8, "little") + text
+    for array in arrays.values():
+        yield array.tobytes() + b"\0" * (-array.nbytes % 8)
 
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
-    import ast
-
     data = np.memmap(path, np.uint8, "r")
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = ast.literal_eval(data[8 : 8 + size].tobytes().decode())
     return {name: data[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in head}
 
 
-def shared_folder(spark, label: str) -> str:
-    """A new folder in the shared one, as a local path on every machine."""
-    url = urlparse(new_path(spark, label))
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"spark.checkpoint.dir must be mounted as a path for memory-mapped levels; it is {url.scheme}:")
-    os.makedirs(url.path)
-    return url.path
+class Store:
+    """Files of arrays below a folder that driver and executors share."""
+
+    def __init__(self, uri: str):
+        self.uri = uri if urlparse(uri).scheme else f"file://{os.path.abspath(uri)}"
+
+    def _there(self) -> tuple[pa_fs.FileSystem, str]:
+        return pa_fs.FileSystem.from_uri(self.uri)
+
+    def make(self) -> None:
+        fs, root = self._there()
+        fs.create_dir(root, recursive=True)
+
+    def write(self, name: str, arrays: dict[str, np.ndarray]) -> None:
+        """One file, put in place at once; a repeated task writes the same again."""
+        fs, root = self._there()
+        rough = f"{root}/.{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(rough) as out:
+            for part in packed(arrays):
+                out.write(part)
+        fs.move(rough, f"{root}/{name}")
+
+    def open(self, name: str) -> dict[str, np.ndarray]:
+        fs, root = self._there()
+        if isinstance(fs, pa_fs.LocalFileSystem):
+            return map_arrays(f"{root}/{name}")
+        cache = os.path.join(tempfile.gettempdir(), "ngrams-" + hashlib.sha256(self.uri.encode()).hexdigest()[:24])
+        own = os.path.join(cache, name)
+        if not os.path.exists(own):
+            os.makedirs(cache, exist_ok=True)
+            rough = f"{own}.{uuid.uuid4().hex}"
+            with fs.open_input_stream(f"{root}/{name}") as source, open(rough, "wb") as out:
+                shutil.copyfileobj(source, out, 1 << 20)
+            os.replace(rough, own)
+        return map_arrays(own)
 
 
 # --- Counting ---------------------------------------------------------------------------------------------------------------------
@@ -228,42 +257,66 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Vocabulary:
-    """Sorted word hashes and counts, in one mapped file for each range of hashes; a word's id is its place."""
-
-    def __init__(self, folder: str):
-        self.shards = [map_arrays(p) for p in sorted(glob.glob(f"{glob.escape(folder)}/vocab-*"))]
-        self.starts = np.cumsum([0, *(len(s["hash"]) for s in self.shards)])
-        self.size = int(self.starts[-1])
-        self.first = np.array([s["hash"][0] for s in self.shards], _U)
-        self.total = sum(int(s["count"].sum()) for s in self.shards)
+    """Sorted word hashes and counts, in one file for each range of hashes; a word's id is its place.
+
+    ``shards`` lists (name, first hash, words, tokens) of each file.
+    """
+
+    def __init__(self, store: Store, shards: list[tuple[str, int, int, int]]):
+        self.store, self.names = store, [s[0] for s in shards]
+        self.first = np.array([s[1] for s in shards], _U)
+        self.starts = np.cumsum([0, *(s[2] for s in shards)])
+        self.running = np.cumsum([0, *(s[3] for s in shards)])
+        self.size, self.total = int(self.starts[-1]), int(self.running[-1])
         self.bits = max(1, (self.size + 1).bit_length())
+        self.held: dict[int, dict[str, np.ndarray]] = {}
+
+    def shard(self, i: int) -> dict[str, np.ndarray]:
+        if i not in self.held:
+            self.held[i] = self.store.open(self.names[i])
+        return self.held[i]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each of the ascending distinct hashes; an unknown word has id ``size`` and count 0."""
         ids, counts = np.full(len(hashes), self.size, np.int64), np.zeros(len(hashes), np.int64)
         borders = [*np.searchsorted(hashes, self.first).tolist(), len(hashes)]
-        for shard, start, a, b in zip(self.shards, self.starts.tolist(), borders, borders[1:], strict=False):
+        for i, (start, a, b) in enumerate(zip(self.starts.tolist(), borders, borders[1:], strict=False)):
             if a < b:
+                shard = self.shard(i)
                 at = np.minimum(np.searchsorted(shard["hash"], hashes[a:b]), len(shard["hash"]) - 1)
                 hit = shard["hash"][at] == hashes[a:b]
                 ids[a:b][hit], counts[a:b][hit] = start + at[hit], shard["count"][at[hit]]
         return ids, counts
 
+    def counts(self, low: int, high: int) -> np.ndarray:
+        """Counts of the words from id ``low`` to ``high``."""
+        first, last = np.searchsorted(self.starts, [low, high], "right") - 1
+        return np.concatenate([self.shard(i)["count"][max(0, low - o) : high + 1 - o] for i, o in zip(range(first, last + 1), self.starts[first:].tolist())])
+
+    def _at(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id of the word over which the running count of tokens passes, by what share of its count) for ascending numbers of tokens."""
+        ids, within = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        place = np.minimum(np.searchsorted(self.running, tokens, "right") - 1, len(self.names) - 1)
+        for i in np.unique(place).tolist():
+            mine = np.flatnonzero(place == i)
+            running = np.concatenate([[0], np.cumsum(self.store.open(self.names[i])["count"])])
+            left = tokens[mine] - self.running[i]
+            at = np.minimum(np.searchsorted(running, left, "right") - 1, len(running) - 2)
+            ids[mine], within[mine] = self.starts[i] + at, (left - running[at]) / (running[at + 1] - running[at])
+        return ids, within
+
     def borders(self, parts: int) -> np.ndarray:
         """Keys (first id, second id) that cut the text's word pairs into about equal parts, going by the counts of single words."""
         if not self.size:
             return np.zeros(0, np.int64)
-        running = np.concatenate([[0], *(np.cumsum(s["count"]) for s in self.shards)])
-        for i, start in enumerate(self.starts[1:-1].tolist()):
-            running[start + 1 :][: self.starts[i + 2] - start] += running[start]
-        share = self.total * np.arange(1, parts) // parts
-        first = np.minimum(np.searchsorted(running, share, "right") - 1, self.size - 1)
-        within = (share - running[first]) / np.maximum(1, running[first + 1] - running[first])
-        second = np.minimum(np.searchsorted(running, (within * self.total).astype(np.int64), "right") - 1, self.size - 1)
+        first, within = self._at(self.total * np.arange(1, parts) // parts)
+        order = np.argsort(within, kind="stable")
+        second = np.zeros(len(first), np.int64)
+        second[order] = self._at((within[order] * self.total).astype(np.int64))[0]
         return np.unique((first << self.bits) | second)
 
 
-def count_words(texts: DataFrame, folder: str, parts: int) -> None:
+def count_words(texts: DataFrame, store: Store, parts: int) -> Vocabulary:
     """Write the vocabulary of the column ``text``."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +330,11 @@ def count_words(texts: DataFrame, folder: str, parts: int) -> None:
     def merge(table: pa.Table) -> pa.Table:
         shard, got = table.column("shard")[0].as_py(), [unsqueezed(b.as_py()) for b in table.column("blob")]
         found, counts, _ = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-        write_arrays(f"{folder}/vocab-{shard:06d}", {"hash": found, "count": counts})
-        return pa.table({"n": pa.array([len(found)], pa.int64())})
+        store.write(name := f"vocab-{shard:06d}", {"hash": found, "count": counts})
+        return pa.table({"name": [name], "first": found[:1].view(np.int64), "words": [len(found)], "tokens": [int(counts.sum())]})
 
-    texts.mapInArrow(send, "shard int, blob binary").groupBy("shard").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
+    made = texts.mapInArrow(tidied(send), "shard int, blob binary").groupBy("shard").applyInArrow(merge, "name string, first long, words long, tokens long")
+    return Vocabulary(store, sorted((r.name, r.first % 2**64, r.words, r.tokens) for r in made.collect()))  # a row for each shard
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -303,11 +357,10 @@ def decoded(span: float) -> np.ndarray:
     return np.append(10.0 ** (-np.arange(255) * (span / 254)), 0.0)
 
 
-def count_ngrams(texts: DataFrame, folder: str, order: int, borders: np.ndarray) -> None:
-    """Write one trie for each range of first two words."""
+def count_ngrams(texts: DataFrame, vocabulary: Vocabulary, order: int, borders: np.ndarray) -> list[tuple[int, int, int]]:
+    """Write one trie for each range of first two words; (shard, lowest, highest first word) of each."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(folder)
         bits = vocabulary.bits
         for _, hashes, rows in token_blocks(batches, 0):
             found, place = np.unique(hashes, return_inverse=True)
@@ -334,7 +387,6 @@ def count_ngrams(texts: DataFrame, folder: str, order: int, borders: np.ndarray)
 
     def merge(table: pa.Table) -> pa.Table:
         shard, got = table.column("shard")[0].as_py(), [unsqueezed(b.as_py()) for b in table.column("blob")]
-        vocabulary = Vocabulary(folder)
         bits, mask = vocabulary.bits, (1 << vocabulary.bits) - 1
         arrays: dict[str, np.ndarray] = {}
         places: list[np.ndarray] = [None] * len(got)
@@ -349,7 +401,7 @@ def count_ngrams(texts: DataFrame, folder: str, order: int, borders: np.ndarray)
                 low, high = int(parents[0]), int(parents[-1])
                 arrays["range"] = np.array([low, high], np.int64)
                 size = high - low + 1
-                context = np.concatenate([s["count"][max(0, low - o) : max(0, high + 1 - o)] for s, o in zip(vocabulary.shards, vocabulary.starts.tolist())]).astype(float)
+                context = vocabulary.counts(low, high).astype(float)
                 parents = parents - low
             else:
                 size, context = len(last), last.astype(float)
@@ -363,10 +415,11 @@ def count_ngrams(texts: DataFrame, folder: str, order: int, borders: np.ndarray)
             base = np.concatenate([[0], np.cumsum(tail)])[:-1]
             arrays |= EliasFano.build(ids + base[parents]).parts(f"{level}.ids") | EliasFano.build(begin).parts(f"{level}.begin")
             last = counts
-        write_arrays(f"{folder}/trie-{shard:06d}", arrays)
-        return pa.table({"n": pa.array([len(last)], pa.int64())})
+        vocabulary.store.write(f"trie-{shard:06d}", arrays)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "low": arrays["range"][:1], "high": arrays["range"][1:]})
 
-    texts.mapInArrow(send, "shard int, blob binary").groupBy("shard").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
+    made = texts.mapInArrow(tidied(send), "shard int, blob binary").groupBy("shard").applyInArrow(merge, "shard int, low long, high long")
+    return sorted((r.shard, r.low, r.high) for r in made.collect())  # a row for each shard
 
 
 # --- Scoring ----------------------------------------------------------------------------------------------------------------------
@@ -375,8 +428,7 @@ def count_ngrams(texts: DataFrame, folder: str, order: int, borders: np.ndarray)
 class Trie:
     """One shard, mapped into memory."""
 
-    def __init__(self, path: str, order: int):
-        arrays = map_arrays(path)
+    def __init__(self, arrays: dict[str, np.ndarray], order: int):
         self.low, self.high = arrays["range"].tolist()
         self.ids = {k: EliasFano.of(arrays, f"{k}.ids") for k in range(2, order + 1)}
         self.begin = {k: EliasFano.of(arrays, f"{k}.begin") for k in range(2, order + 1)}
@@ -401,13 +453,16 @@ class Trie:
 class Model:
     """The whole trie as scoring tasks see it."""
 
-    def __init__(self, folder: str, order: int):
-        self.order, self.vocabulary = order, Vocabulary(folder)
-        paths = sorted(glob.glob(f"{glob.escape(folder)}/trie-*"))
-        self.tries = [Trie(p, order) for p in paths]
-        self.numbers = [int(p[-6:]) for p in paths]
+    def __init__(self, vocabulary: Vocabulary, shards: list[tuple[int, int, int]], order: int):
+        self.order, self.vocabulary, self.shards = order, vocabulary, shards
+        self.tries: dict[int, Trie] = {}
         self.probs, self.weights = decoded(PROB_RANGE), decoded(WEIGHT_RANGE)
 
+    def trie(self, number: int) -> Trie:
+        if number not in self.tries:
+            self.tries[number] = Trie(self.vocabulary.store.open(f"trie-{number:06d}"), self.order)
+        return self.tries[number]
+
     def log_probs(self, hashes: np.ndarray, rows: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count, base log10 probability, log10 probability) of each token."""
         v = self.vocabulary
@@ -419,8 +474,10 @@ class Model:
         first, first_place = np.unique(word_ids, return_inverse=True)
         weight = np.zeros(len(first))
         seen = np.zeros(len(first), bool)
-        for trie in self.tries:
-            a, b = np.searchsorted(first, [trie.low, trie.high + 1])
+        lows, highs = (np.array([s[i] for s in self.shards], np.int64) for i in (1, 2))
+        begin, end = np.searchsorted(first, lows), np.searchsorted(first, highs, "right")
+        for i in np.flatnonzero(begin < end).tolist():
+            trie, a, b = self.trie(self.shards[i][0]), int(begin[i]), int(end[i])
             part = self.weights[trie.weight[1][first[a:b] - trie.low]]
             weight[a:b] += part
             seen[a:b] |= part > 0
@@ -435,9 +492,10 @@ class Model:
             else:
                 cut, parents = np.searchsorted(parents, cut).tolist(), above_nodes[parents]
             nodes, prob, own_weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
-            for number, trie in zip(self.numbers, self.tries, strict=True):
+            for number, _, _ in self.shards:
                 a, b = cut[number], cut[number + 1]
                 if a < b:
+                    trie = self.trie(number)
                     at = trie.find(k, parents[a:b], last[a:b])
                     hit = np.flatnonzero(at >= 0)
                     nodes[a:b] = at
@@ -458,18 +516,19 @@ class Model:
 def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every whole text, by a model of the texts of ``train``."""
     spark = docs.sparkSession
-    folder = shared_folder(spark, "ngrams")
+    store = Store(new_path(spark, "ngrams"))
+    store.make()
+    dropped_at_exit(spark, store.uri)
     texts = train.select(F.col(text_col).alias("text"))
     parts = max(8, texts.rdd.getNumPartitions())
-    count_words(texts, folder, parts)
-    vocabulary = Vocabulary(folder)
+    vocabulary = count_words(texts, store, parts)
     borders = vocabulary.borders(max(parts, -(-vocabulary.total // shard_words)))
-    if vocabulary.size:
-        count_ngrams(texts, folder, order, borders)
+    vocabulary.held.clear()
+    shards = count_ngrams(texts, vocabulary, order, borders) if vocabulary.size else []
     total = vocabulary.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(folder, order)
+        model = Model(vocabulary, shards, order)
         for held, hashes, rows in token_blocks(batches, 1, BLOCK_WORDS // 2):
             counts, base, score = model.log_probs(hashes, rows, borders)
             n = sum(h.num_rows for h in held)
@@ -487,4 +546,4 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return picked.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

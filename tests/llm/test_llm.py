@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -146,18 +147,26 @@ def test_elias_fano():
         assert (coded.find(asked, begin, end) == np.where(hit, at, -1)).all()
 
 
-def plain_scores(rows, train, order):
+def plain_scores(rows, train, order, borders=()):
+    """Scores by dictionaries; discounts are those of the shard that an n-gram's first two words belong to."""
     tokens = {i: [*words(t), None] for i, t in rows}
     grams = [Counter() for _ in range(order + 1)]
     for i in train:
         for k in range(1, order + 1):
             grams[k].update(tuple(tokens[i][a : a + k]) for a in range(len(tokens[i]) - k + 1))
     total, size = sum(grams[1].values()), len(grams[1])
-    after = [defaultdict(list) for _ in range(order + 1)]
+    hashed = {w: int(ngram_lm.END) if w is None else int(word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for (w,) in grams[1]}
+    number = {w: n for n, w in enumerate(sorted(hashed, key=hashed.get))}
+    bits = max(1, (size + 1).bit_length())
+    shard = lambda g: int(np.searchsorted(borders, (number[g[0]] << bits) | number[g[1]], "right"))
+    taken, after = {}, [defaultdict(list) for _ in range(order + 1)]
     for k in range(2, order + 1):
+        by = defaultdict(list)
         for g, c in grams[k].items():
-            after[k][g[:-1]].append(c)
-    taken = [None, None, *(ngram_lm.discounts(np.array(list(grams[k].values()))) for k in range(2, order + 1))]
+            by[shard(g)].append(c)
+        taken |= {(k, s): ngram_lm.discounts(np.array(c)) for s, c in by.items()}
+        for g, c in grams[k].items():
+            after[k][g[:-1]].append(taken[k, shard(g)][min(c, 3) - 1])
     out = {}
     for i, t in tokens.items():
         score = base = 0.0
@@ -165,27 +174,28 @@ def plain_scores(rows, train, order):
             p = (grams[1][t[a],] + 0.5) / (total + 0.5 * (size + 1))
             base += math.log10(p)
             for k in range(2, min(order, a + 1) + 1):
-                context, c = tuple(t[a - k + 1 : a]), grams[k][tuple(t[a - k + 1 : a + 1])]
-                if context in after[k]:
-                    counts = after[k][context]
-                    n = grams[k - 1][context]
-                    weight = sum(taken[k][min(x, 3) - 1] for x in counts) / n
-                    p = ((c - taken[k][min(c, 3) - 1]) / n if c else 0.0) + weight * p
+                g = tuple(t[a - k + 1 : a + 1])
+                c = grams[k][g]
+                if g[:-1] in after[k]:
+                    n = grams[k - 1][g[:-1]]
+                    p = ((c - taken[k, shard(g)][min(c, 3) - 1]) / n if c else 0.0) + sum(after[k][g[:-1]]) / n * p
             score += math.log10(p)
         out[i] = base, score, len(t), sum(grams[1][w,] > 0 for w in t), total
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_ngram_scores_equal_plain_ones(spark, monkeypatch, order):
-    """One shard (as discounts are estimated for each), several blocks, words seen and unseen."""
+@pytest.mark.parametrize("order,parts", [(2, 1), (3, 1), (4, 1), (2, 7), (3, 7), (4, 7)])
+def test_ngram_scores_equal_plain_ones(spark, monkeypatch, order, parts):
+    """One shard and several (a frequent first word is cut between them), several blocks, words seen and unseen."""
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{min(40, int(x))}" for x in rng.exponential(6, int(rng.integers(0, 60))))) for i in range(80)] + [(80, None), (81, "never seen words")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = df.where("doc_id % 3 <> 1 AND doc_id < 81")
-    monkeypatch.setattr(ngram_lm.Vocabulary, "borders", lambda self, parts: np.zeros(0, np.int64))
+    used, plainly = [], ngram_lm.Vocabulary.borders
+    monkeypatch.setattr(ngram_lm.Vocabulary, "borders", lambda self, _: used.append(plainly(self, parts)) or used[-1])
     found = {r.doc_id: r for r in ngram_lm.score_documents(df, train, order=order).collect()}
-    expected = plain_scores(rows, [i for i, _ in rows if i % 3 != 1 and i < 81], order)
+    assert len(used[0]) == parts - 1
+    expected = plain_scores(rows, [i for i, _ in rows if i % 3 != 1 and i < 81], order, used[0])
     for i, (base, score, n, known, total) in expected.items():
         r = found[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
@@ -193,6 +203,40 @@ def test_ngram_scores_equal_plain_ones(spark, monkeypatch, order):
         assert r.score == pytest.approx(score, abs=0.03 * n)  # 8-bit steps
 
 
+def test_borders_cut_the_text_evenly(tmp_path):
+    """From one number for each file of the vocabulary they are what the counts of all words give."""
+    rng = np.random.default_rng(4)
+    store, shards, counts = ngram_lm.Store(str(tmp_path)), [], []
+    for i, n in enumerate((1, 50, 7, 300)):
+        own = np.maximum(1, rng.pareto(0.8, n) * 5).astype(np.int64)
+        hashes = np.sort(rng.integers(i << 60, (i + 1) << 60, n).astype(np.uint64))
+        store.write(f"vocab-{i:06d}", {"hash": hashes, "count": own})
+        shards.append((f"vocab-{i:06d}", int(hashes[0]), n, int(own.sum())))
+        counts += own.tolist()
+    vocabulary = ngram_lm.Vocabulary(store, shards)
+    running, total = np.concatenate([[0], np.cumsum(counts)]), sum(counts)
+    place = lambda tokens: next(i for i in range(len(counts) - 1, -1, -1) if running[i] <= tokens)
+    wanted = set()
+    for share in (total * np.arange(1, 40) // 40).tolist():
+        first = place(share)
+        wanted.add((first << vocabulary.bits) | place(int((share - running[first]) / counts[first] * total)))
+    assert vocabulary.borders(40).tolist() == sorted(wanted)
+    assert vocabulary.counts(1, 60).tolist() == counts[1:61] and vocabulary.counts(0, 0).tolist() == counts[:1]
+
+
+def test_a_store_that_is_not_mounted_is_fetched(tmp_path, monkeypatch):
+    store = ngram_lm.Store(f"file://{tmp_path}/there")
+    store.make()
+    store.write("trie-000001", {"a": np.arange(5), "b": np.zeros(0, np.uint8), "c": np.arange(3, dtype=np.uint32)})
+    here = pa.fs.SubTreeFileSystem(str(tmp_path), pa.fs.LocalFileSystem())  # not taken for a mounted one
+    monkeypatch.setattr(ngram_lm.Store, "_there", lambda self: (here, "there"))
+    monkeypatch.setattr(ngram_lm.tempfile, "gettempdir", lambda: str(tmp_path / "cache"))
+    for _ in range(2):
+        found = store.open("trie-000001")
+        assert found["a"].tolist() == [0, 1, 2, 3, 4] and not len(found["b"]) and found["c"].tolist() == [0, 1, 2]
+    assert len(list((tmp_path / "cache").rglob("trie-*"))) == 1
+
+
 def test_ngram_scores_over_shards(docs):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     rows = ngram_lm.score_documents(docs, docs.where(~held_out), shard_words=5_000).withColumn("held", held_out).collect()
