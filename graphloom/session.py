@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,13 +27,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary one is made."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one if everything runs on this machine, else an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = context.getCheckpointDir()
         if current:
             return current
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -54,9 +57,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again (column pruning and size statistics come for free)."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    dropped_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder when it ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 _SHIPPED: set[str] = set()
 #: Arrow batches are cut by bytes, as texts may be long: of each batch several copies are held at once, in the JVM and in the worker.
 BATCH_BYTES = "4m"

@@ -22,6 +22,17 @@ def tiny(spark):
     return spark.createDataFrame([(*f, "s1", str(i), i) for i, f in enumerate(TINY)], "subject string, relation string, object string, sample_id string, source_text_id string, seq long")
 
 
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from graphloom import session
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", getConf=lambda: SimpleNamespace(get=lambda *_: None), getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        session.shared_dir(unset)
+    assert session.stored(spark.range(3), "some").count() == 3
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, name string")
     ids = lambda q: sorted(r.id for r in filters.match_documents(df, q).collect())
