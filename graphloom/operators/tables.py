@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schemas
+from graphloom.session import cut
 
 
 def first_per_key(df: DataFrame, key: list[str], seq: str, last: bool = False) -> DataFrame:
@@ -68,9 +70,12 @@ def dump_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("sample_id", "source_text_id").pivot("stage", sorted(stages)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def dump(stages: dict[str, DataFrame], fields: tuple[str, ...] = schemas.EXPORT_FIELDS) -> DataFrame:
-    """(sample_id, source_text_id, json): the lists of each stage for one passage; absent fields are left out of the JSON."""
+def dump(stages: dict[str, DataFrame], fields: tuple[str, ...] = schemas.EXPORT_FIELDS, samples: int | None = None) -> DataFrame:
+    """(sample_id, source_text_id, json): the lists of each stage for one passage, of the first ``samples`` samples if asked; absent
+    fields are left out of the JSON."""
     rows = stage_union(stages).where("sample_id IS NOT NULL AND source_text_id IS NOT NULL")
+    if samples is not None:
+        rows = rows.join(rows.select("sample_id").distinct().orderBy("sample_id").limit(samples), "sample_id", "left_semi")
     fact = F.struct(*[f for f in fields if f in rows.columns])
     lists = [F.sort_array(F.collect_list(F.when(F.col("stage") == s, fact))).alias(s) for s in stages]
     return rows.groupBy("sample_id", "source_text_id").agg(*lists).select("sample_id", "source_text_id", F.to_json(F.struct(*stages)).alias("json"))
@@ -80,54 +85,103 @@ def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+@dataclass(frozen=True)
+class VectorIndex:
+    """What a search may ask of a table: its vector column, their dimension and the measure."""
+
+    table: str
+    column: str
+    dims: int
+    metric: str = "cosine"
+
+
 @dataclass
 class Catalog:
-    """Tables as folders below ``root``; writes are whole-table swaps of a new version."""
+    """Tables as folders below ``root``, each in ``buckets`` parts that have versions of their own.
+
+    Rows are dealt by a hash of their sample, or of the first key column where a table has no samples. An upsert or append reads and
+    rewrites only the parts that its rows fall into. A part's new version counts once it is marked complete; the one before it stays
+    for readers that have begun.
+    """
 
     spark: SparkSession
     root: str
     mode: str = "structured"
+    buckets: int = 64
     indexes: dict[str, list[str]] = field(default_factory=dict)
+    vector_indexes: dict[str, VectorIndex] = field(default_factory=dict)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def names(self) -> list[str]:
+    def _folders(self, where: str) -> list[str]:
         fs, path = self._fs()
-        if not fs.exists(path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.root)) if s.isDirectory())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path(where)) if s.isDirectory()) if fs.exists(path(where)) else []
 
-    def versions(self, name: str) -> list[int]:
-        """Complete versions; one is complete when its writer has left the success mark."""
+    def names(self) -> list[str]:
+        return [name for name in self._folders(self.root) if not name.startswith("_")]
+
+    def parts(self, name: str) -> dict[str, list[int]]:
+        """The complete versions of each part; the part ``schema`` holds no rows."""
         fs, path = self._fs()
-        home = path(f"{self.root}/{name}")
-        found = [s.getPath() for s in fs.listStatus(home)] if fs.exists(home) else []
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(path(f"{p}/_SUCCESS")))
+        found = {}
+        for part in self._folders(f"{self.root}/{name}"):
+            versions = [int(v[1:]) for v in self._folders(f"{self.root}/{name}/{part}") if fs.exists(path(f"{self.root}/{name}/{part}/{v}/_SUCCESS"))]
+            if versions:
+                found[part] = sorted(versions)
+        return found
 
     def exists(self, name: str) -> bool:
-        return bool(self.versions(name))
+        return bool(self.parts(name))
 
-    def read(self, name: str) -> DataFrame:
-        versions = self.versions(name)
-        if not versions:
+    def read(self, name: str, only: set[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets."""
+        parts = self.parts(name)
+        if not parts:
             raise KeyError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}")
+        wanted = [f"{self.root}/{name}/{part}/v{versions[-1]}" for part, versions in parts.items() if only is None or part == "schema" or int(part[1:]) in only]
+        return self.spark.read.option("mergeSchema", "true").parquet(*wanted)
+
+    def bucket(self, columns: list[str], key: list[str] | None = None) -> F.Column:
+        own = "sample_id" if "sample_id" in columns else (key or columns)[0]
+        return F.pmod(F.xxhash64(F.coalesce(F.col(own).cast("string"), F.lit(""))), F.lit(self.buckets)).cast("int")
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new version, after which the ones before the last are dropped."""
-        versions = self.versions(name)
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{versions[-1] + 1 if versions else 0}")
+    def _replace(self, name: str, rows: DataFrame, bucket: F.Column, touched: set[int] | None = None) -> None:
+        """Put new versions of the parts in place; touched parts without rows become empty."""
         fs, path = self._fs()
-        for old in versions[:-1]:
-            fs.delete(path(f"{self.root}/{name}/v{old}"), True)
+        rough = f"{self.root}/_new-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(rough)
+        versions = self.parts(name)
+        made = {int(f.split("=")[1]) for f in self._folders(rough) if f.startswith("_bucket=")}
+        if "schema" not in versions or not set(rows.columns) <= set(self.read(name, set()).columns):
+            self.spark.createDataFrame([], rows.schema).write.parquet(f"{self.root}/{name}/schema/v{versions.get('schema', [-1])[-1] + 1}")
+        for b in sorted(made | (touched or set())):
+            part = f"b{b:04d}"
+            home, new = f"{self.root}/{name}/{part}", versions.get(part, [-1])[-1] + 1
+            if b in made:
+                fs.mkdirs(path(home))
+                fs.delete(path(f"{home}/v{new}"), True)  # left there by a writer that did not end
+                if not fs.rename(path(f"{rough}/_bucket={b}"), path(f"{home}/v{new}")):
+                    raise OSError(f"cannot move {rough}/_bucket={b} to {home}/v{new}")
+                fs.create(path(f"{home}/v{new}/_SUCCESS"), True).close()
+            elif part in versions:
+                self.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{home}/v{new}")
+            for old in versions.get(part, [])[:-1]:
+                fs.delete(path(f"{home}/v{old}"), True)
+        fs.delete(path(rough), True)
+
+    def write(self, name: str, df: DataFrame, key: list[str] | None = None) -> None:
+        """Replace the whole table."""
+        self._replace(name, df, self.bucket(df.columns, key), {int(p[1:]) for p in self.parts(name) if p != "schema"})
 
     def provision(self, names: tuple[str, ...] | None = None, drop: bool = False) -> None:
         """Create the missing tables of the mode, empty and typed; ``drop`` empties the named ones only."""
         for name in names or schemas.MODE_TABLES[self.mode]:
-            if drop or not self.exists(name):
+            if drop:
+                self.drop(name)
+            if not self.exists(name):
                 kind = "dynamic_property_aliases" if name == "property_aliases" and self.mode == "dynamic" else name
                 self.write(name, self.spark.createDataFrame([], schemas.SCHEMAS[kind]))
 
@@ -142,19 +196,51 @@ class Catalog:
         """Recorded for introspection only; scans prune by statistics."""
         self.indexes[name] = sorted({*self.indexes.get(name, []), *fields})
 
+    def ensure_vector_index(self, name: str, column: str, dims: int, metric: str = "cosine") -> bool:
+        """Record the vectors of a table; whether a record that did not fit was replaced."""
+        new, old = VectorIndex(name, column, dims, metric), self.vector_indexes.get(name)
+        self.vector_indexes[name] = new
+        return old is not None and old != new
+
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
+        rows = cut(df)
+        bucket = self.bucket(df.columns)
+        touched = self._touched(rows, bucket)
+        self._replace(name, self.read(name, touched).unionByName(rows, allowMissingColumns=True), bucket, touched)
 
     def upsert(self, name: str, df: DataFrame, key: list[str], seq: str | None = None, policy: str = "first") -> None:
-        rows = df if seq else df.withColumn("_seq", F.monotonically_increasing_id())
-        merged = upsert(self.read(name), rows, key, seq or "_seq", policy)
-        self.write(name, merged.select(*[c for c in merged.columns if c not in ("_seq", seq)]))
+        """Rows without an order column are ordered by a hash of their content, so that a repeated batch gives the same."""
+        rows = cut(df if seq else df.withColumn("_seq", F.xxhash64(*[c for c in df.columns])))
+        bucket = self.bucket(df.columns, key)
+        touched = self._touched(rows, bucket)
+        merged = upsert(self.read(name, touched), rows, key, seq or "_seq", policy)
+        self._replace(name, merged.select(*[c for c in merged.columns if c not in ("_seq", seq)]), bucket, touched)
+
+    def _touched(self, rows: DataFrame, bucket: F.Column) -> set[int]:
+        return {b for (b,) in rows.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
+
+    def delete_sample(self, name: str, sample_id: str) -> None:
+        """Delete one sample's rows; only its part is rewritten."""
+        rows = self.read(name, set())
+        if "sample_id" not in rows.columns:
+            return
+        bucket = self.bucket(rows.columns)
+        touched = self._touched(self.spark.createDataFrame([(sample_id,)], "sample_id string"), bucket)
+        self._replace(name, delete_sample(self.read(name, touched), sample_id), bucket, touched)
 
     def check_dimensions(self, name: str, dims: int, column: str = "alias_text_embedding") -> bool:
         """Whether all stored vectors have ``dims`` components."""
         low, high = self.read(name).agg(F.min(F.size(column)), F.max(F.size(column))).first()
         return low is None or low == high == dims
 
+    def drop_incompatible(self, dims: int) -> list[str]:
+        """Empty all tables of the mode if one of them holds vectors of another dimension; the names of those that do."""
+        held = [n for n in schemas.MODE_TABLES[self.mode] if self.exists(n) and "alias_text_embedding" in self.read(n, set()).columns]
+        found = [n for n in held if not self.check_dimensions(n, dims)]
+        if found:
+            self.provision(drop=True)
+        return found
+
     @property
     def local(self) -> bool:
         return urlparse(self.root).scheme in ("", "file")

@@ -79,6 +79,31 @@ def test_catalog_and_stream(spark, tmp_path):
     assert not catalog.exists("triplets")
 
 
+def test_catalog_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    catalog = tables.Catalog(spark, str(tmp_path / "db"), buckets=8)
+    rows = lambda *names, v=0: spark.createDataFrame([(n, f"k{n}", v) for n in names], "sample_id string, k string, v int")
+    catalog.write("t", rows(*"abcdefgh"))
+    before = catalog.parts("t")
+    catalog.upsert("t", rows("a", "z", v=1), ["sample_id", "k"])
+    after = catalog.parts("t")
+    assert {p for p in after if after[p] != before.get(p)} <= {f"b{b:04d}" for b in catalog._touched(rows("a", "z"), catalog.bucket(["sample_id"]))}
+    held = lambda: {(r.sample_id, r.v) for r in catalog.read("t").collect()}
+    assert held() == {*((n, 0) for n in "abcdefgh"), ("z", 1)}
+    catalog.upsert("t", rows("b", v=7).withColumn("_order", F.lit(1)), ["sample_id", "k"], "_order", "last")
+    assert ("b", 7) in held() and ("b", 0) not in held()
+    catalog.delete_sample("t", "b")
+    assert "b" not in {n for n, _ in held()} and len(held()) == 8
+    catalog.append("t", rows("a", v=9).withColumn("more", F.lit("x")))
+    assert {(r.v, r.more) for r in catalog.read("t").where("sample_id = 'a'").collect()} >= {(9, "x")}
+    catalog.write("t", rows("q"))
+    assert {n for n, _ in held()} == {"q"}
+    assert not catalog.ensure_vector_index("t", "v", 3) and catalog.ensure_vector_index("t", "v", 4) and catalog.vector_indexes["t"].dims == 4
+    other = tables.Catalog(spark, str(tmp_path / "other"))
+    other.provision()
+    other.append("entity_aliases", spark.createDataFrame([("l", "t", "a", "s", [1.0, 2.0])], schemas.SCHEMAS["entity_aliases"]))
+    assert other.drop_incompatible(2) == [] and other.drop_incompatible(3) == ["entity_aliases"] and other.read("entity_aliases").count() == 0
+
+
 def test_windowed_counts(spark, sf):
     events = fixtures.table(spark, sf, "events")
     assert windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
