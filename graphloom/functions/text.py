@@ -56,8 +56,10 @@ def token_f1(answer: Column, truth: Column) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """Trimmed, without escaped quotes."""
-    return F.trim(F.replace(F.trim(text), F.lit('\\"'), F.lit("")))
+    """Trimmed, without escaped quotes; a text that begins with an escaped code point is decoded."""
+    bare = F.replace(F.trim(text), F.lit('\\"'), F.lit(""))
+    decoded = F.from_json(F.concat(F.lit('["'), F.replace(bare, F.lit('"'), F.lit('\\"')), F.lit('"]')), "array<string>")[0]
+    return F.trim(F.when(bare.startswith("\\u"), F.coalesce(decoded, bare)).otherwise(bare))
 
 
 def is_none_answer(text: Column) -> Column:
@@ -99,10 +101,20 @@ TRIPLETS_JSON = T.StructType([T.StructField("triplets", T.ArrayType(T.StructType
 
 
 def extract_json(text: Column) -> Column:
-    """The whole text if it is JSON, else a fenced block, else from the first bracket to the last, else the text itself."""
+    """The whole text if it is JSON, else a fenced block, else the first balanced object or list amid prose, else the text itself.
+
+    A part is balanced where it is JSON: of all parts from an opening to a closing bracket the first that parses is taken, by the place
+    where it opens, then where it closes.
+    """
     valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
     whole = F.trim(text)
-    return F.coalesce(valid(whole), valid(F.trim(fenced(text))), valid(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1), F.lit(""))), text)
+    pieces = F.split(text, r"(?=[{\[])")
+    tails = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+    parts = lambda tail: F.split(tail, r"(?<=[}\]])")
+    heads = lambda tail: F.transform(F.sequence(F.lit(1), F.size(parts(tail))), lambda i: F.array_join(F.slice(parts(tail), 1, i), ""))
+    bracketed = lambda x: x.rlike(r"(?s)^[{\[].*[}\]]$") & F.get_json_object(x, "$").isNotNull()
+    amid = F.get(F.filter(F.flatten(F.transform(tails, heads)), bracketed), F.lit(0))
+    return F.coalesce(valid(whole), valid(F.trim(fenced(text))), amid, text)
 
 
 def parse_triplets(text: Column) -> Column:
@@ -127,6 +139,14 @@ def chunk_fixed(df: DataFrame, key: str, text: str, size: int = 4, least: int =
     return held.select(key, "chunk_id", F.array_join(F.slice("s", start, length), " ").alias("chunk"))
 
 
+def chunk_sections(sections: DataFrame, size: int = 4, least: int = 4) -> DataFrame:
+    """(filename, section, chunks) from (filename, section, text): each section's chunks by number, from 1."""
+    keyed = sections.withColumn("_key", F.struct("filename", "section"))
+    chunks = chunk_fixed(keyed, "_key", "text", size, least)
+    listed = chunks.groupBy("_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "chunk")))).alias("chunks"))
+    return listed.select("_key.filename", "_key.section", "chunks")
+
+
 def chunk_random(df: DataFrame, key: str, text: str, seed: int = 0) -> DataFrame:
     """Chunks of three to five sentences, their sizes drawn from key and seed, so that no run differs.
 
@@ -155,7 +175,16 @@ def chunk_random(df: DataFrame, key: str, text: str, seed: int = 0) -> DataFrame
 
 
 #: US dollars for a million tokens in and out (fixed values).
-PRICES = {"gpt-4o-mini": (0.15, 0.6), "gpt-4o": (2.5, 10.0), "gpt-4.1": (2.0, 8.0), "gpt-4.1-mini": (0.4, 1.6)}
+PRICES = {
+    "gpt-4o": (2.5, 10.0),
+    "gpt-4o-mini": (0.15, 0.6),
+    "gpt-4.1-mini": (0.4, 1.6),
+    "gpt-4.1": (2.0, 8.0),
+    "Meta-llama/Llama-3.3-70B-Instruct": (0.04, 0.12),
+    "qwen/qwen3-32b": (0.05, 0.2),
+    "Openai/Gpt-oss-120b": (0.05, 0.2),
+    "Qwen/Qwen3-32B": (0.05, 0.2),
+}
 
 
 def cost_by_model(usage: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:

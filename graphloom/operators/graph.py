@@ -158,6 +158,18 @@ def two_hop_paths(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.object") == F.col("b.subject")).select(F.concat_ws(" -> ", "a.subject", "a.relation", "a.object", "b.relation", "b.object").alias("path"))
 
 
+def typed_paths(edges: DataFrame, relations: list[str]) -> DataFrame:
+    """Paths of facts in a row with the given relations, of any length, spelled with arrows."""
+    found = None
+    for i, relation in enumerate(relations):
+        step = edges.where(F.col("relation") == relation).select(F.col("subject").alias("_from"), F.col("object").alias(f"_{i}")).distinct()
+        if found is None:
+            found = step.select(F.concat_ws(f" -> {relation} -> ", "_from", "_0").alias("path"), F.col("_0").alias("_end"))
+        else:
+            found = found.join(step, F.col("_end") == F.col("_from")).select(F.concat_ws(f" -> {relation} -> ", "path", f"_{i}").alias("path"), F.col(f"_{i}").alias("_end"))
+    return found.select("path")
+
+
 def path_tokens(paths: DataFrame) -> DataFrame:
     """(path, pos, token, is_relation): odd places are relations."""
     return paths.select("path", F.posexplode(F.split("path", " -> ")).alias("pos", "token")).withColumn("is_relation", F.col("pos") % 2 == 1)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.models import Answerer, HashEmbedder, question_entities
+from graphloom.functions.models import Answerer, HashEmbedder, Stepper, question_entities
 from graphloom.functions.text import exact_match, token_f1
 from graphloom.operators.refine import embedded
 from graphloom.operators.vector import batch_top_k, distinct_top_k, prefix_length
@@ -101,6 +101,45 @@ def answer_by_collapsing(questions: DataFrame, edges: DataFrame, names: DataFram
     return steps.select("question_id", "question", "answer")
 
 
+def answer_by_steps(questions: DataFrame, edges: DataFrame, names: DataFrame, answerer: Answerer, stepper: Stepper, embedder: HashEmbedder = HashEmbedder(), rounds: int = 5, k: int = 10) -> DataFrame:
+    """(question_id, question, answer, asked, answers): multi-step answers, all open questions of a round at once.
+
+    A round takes each open question's current step, links its entities and the answer before, reads one hop around them, and answers.
+    Where that settles the question the final answer is kept and the question closed; otherwise the step is rewritten with the answer. A
+    question that stays open keeps the answer of its last round.
+    """
+    ship(questions.sparkSession)
+    kind = questions.schema["question_id"].dataType.simpleString()
+    shape = f"question_id {kind}, question string, step string, asked array<string>, answers array<string>, final string"
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [q or "" for q in batch.column(1).to_pylist()]
+            empty = pa.array([[] for _ in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([stepper.decompose(q) for q in texts], pa.string()), empty, empty, pa.nulls(len(texts), pa.string())], names=["question_id", "question", "step", "asked", "answers", "final"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                asked, answers = [*r["asked"], r["step"]], [*r["answers"], r["said"]]
+                final = stepper.settled(r["question"], asked, answers)
+                step = r["step"] if final is not None else stepper.collapse(r["question"], r["step"], r["said"])
+                rows.append((r["question_id"], r["question"], step, asked, answers, final))
+            types = [batch.schema.field("question_id").type, pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["question_id", "question", "step", "asked", "answers", "final"])
+
+    state = cut(questions.select("question_id", "question").mapInArrow(opened, shape))
+    for _ in range(rounds):
+        turn = state.where("final IS NULL").select("question_id", F.col("step").alias("question"), F.get("answers", F.size("answers") - 1).alias("before"))
+        if turn.isEmpty():
+            break
+        linked = link_entities(turn, names, embedder, k).union(turn.select("question_id", F.col("before").alias("name")).where("name IS NOT NULL")).distinct()
+        said = answer(turn, k_hop_by_question(edges, linked, 1), answerer).select("question_id", F.col("answer").alias("said"))
+        state = cut(state.where("final IS NULL").join(said, "question_id", "left").mapInArrow(judged, shape).union(state.where("final IS NOT NULL")))
+    return state.select("question_id", "question", F.coalesce("final", F.get("answers", F.size("answers") - 1)).alias("answer"), "asked", "answers")
+
+
 def score_answers(answers: DataFrame, truths: DataFrame) -> DataFrame:
     """Answers with their exact match and token F1; questions without a truth are left out."""
     return answers.join(truths, "question_id").withColumn("exact", exact_match(F.coalesce("answer", F.lit("")), F.col("truth"))).withColumn("f1", token_f1(F.coalesce("answer", F.lit("")), F.col("truth")))

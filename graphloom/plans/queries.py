@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schemas
 from graphloom.functions import models, text
-from graphloom.operators import filters, graph, ontology, qa, refine, tables, vector
+from graphloom.operators import aligner, filters, graph, ontology, qa, refine, tables, vector
 from graphloom.plans import oracle
 from graphloom.sources import fixtures, readers
 
@@ -433,6 +433,20 @@ def two_hop_paths(spark, sf):
     return graph.two_hop_paths(rows.where("relation = 'placed by'"), rows.where("relation = 'located in country'"))
 
 
+_CHAIN = ["placed by", "located in country", "part of region"]
+_STEPS = ", ".join(f"s{i} AS (SELECT DISTINCT subject AS a, object AS b FROM tri WHERE relation = '{r}')" for i, r in enumerate(_CHAIN))
+
+
+@query("typed_paths", _kg(f""", {_STEPS} SELECT a || ' -> {_CHAIN[0]} -> ' || b AS path, 1 AS hops FROM s0
+    UNION ALL SELECT s0.a || ' -> {_CHAIN[0]} -> ' || s0.b || ' -> {_CHAIN[1]} -> ' || s1.b, 2 FROM s0 JOIN s1 ON s0.b = s1.a
+    UNION ALL SELECT s0.a || ' -> {_CHAIN[0]} -> ' || s0.b || ' -> {_CHAIN[1]} -> ' || s1.b || ' -> {_CHAIN[2]} -> ' || s2.b, 3 FROM s0 JOIN s1 ON s0.b = s1.a JOIN s2 ON s1.b = s2.a"""))
+def typed_paths(spark, sf):
+    """Paths of one, two and three facts."""
+    rows = fixtures.triplets(spark, sf)
+    parts = [graph.typed_paths(rows, _CHAIN[:n]).withColumn("hops", F.lit(n)) for n in (1, 2, 3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("path_tokens", _kg("SELECT path, CAST(i - 1 AS INTEGER) AS pos, t[i] AS token, i % 2 = 0 AS is_relation FROM (SELECT path, string_split(path, ' -> ') AS t, unnest([1, 2, 3, 4, 5]) AS i FROM (SELECT DISTINCT subject || ' -> ' || relation || ' -> ' || object || ' -> part of region -> ' || sample_id AS path FROM tri WHERE relation = 'located in country'))"))
 def path_tokens(spark, sf):
     rows = fixtures.triplets(spark, sf)
@@ -486,6 +500,15 @@ def extract_json_shape(spark, sf):
     return rows.select("event_id", (text.extract_json(wrapped) == F.col("props")).alias("has_json"))
 
 
+@query("triplet_shape", "SELECT event_id, event_id % 4 IN (0, 1) AS usable FROM events")
+def triplet_shape(spark, sf):
+    """Of answers in four shapes only an object with a list of triplets is usable."""
+    rows = fixtures.table(spark, sf, "events")
+    fact = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("subject"), F.lit("is of type").alias("relation"), F.col("event_type").alias("object"))).alias("triplets")))
+    shapes = F.array(fact, F.concat(F.lit("Some {notes}, then: "), fact, F.lit(" and {more}")), F.concat(F.lit("["), fact, F.lit("]")), F.lit('{"triplets": "none"}'))
+    return rows.select("event_id", text.parse_triplets(F.element_at(shapes, (F.col("event_id") % 4 + 1).cast("int"))).isNotNull().alias("usable"))
+
+
 _VERB = "concat_ws(', ', subject, relation, object) || CASE WHEN len(qualifiers) > 0 THEN ' | ' || array_to_string(list_transform(qualifiers, lambda q: q.relation || ': ' || q.object), ', ') ELSE '' END"
 
 
@@ -591,6 +614,15 @@ def ingest_structured_merging(spark, sf):
     return _ingested(spark, sf, 0.9)
 
 
+@query("similar_names")
+def similar_names(spark, sf):
+    """The labels nearest to every hundredth part name, among all part names of its type; held against brute force in the tests."""
+    parts = fixtures.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("alias"), F.col("p_brand").alias("label"), F.col("p_type").alias("sample_id"))
+    aliases = aligner.with_embeddings(parts.drop("p_partkey"), models.HashEmbedder())
+    asked = parts.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("alias").alias("name"), "sample_id")
+    return aligner.similar_entity_names(asked, aliases, distinct=True).withColumn("score", F.round("score", 6))
+
+
 @query("qa_end_to_end")
 def qa_end_to_end(spark, sf):
     """What does each fact say of its subject? Linked, expanded and answered by the stand-ins."""

@@ -7,24 +7,37 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import ship
 
 
 def json_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, source_text_id, text) of one JSON object from samples to lists of passages."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    """(sample_id, source_text_id, text) of one JSON object from samples to lists of passages; a file that is none is an error."""
+    whole = spark.read.text(path, wholetext=True).select(_parsed("map<string,array<string>>").alias("m"))
     return whole.select(F.explode("m").alias("sample_id", "texts")).select("sample_id", F.posexplode("texts").alias("pos", "text")).select("sample_id", F.col("pos").cast("string").alias("source_text_id"), "text")
 
 
 def jsonl_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, source_text_id, text) of single-key objects, one a line; a sample's passages become one text."""
-    rows = spark.read.text(path).where("trim(value) <> ''").select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("sample_id", "texts"))
+    """(sample_id, source_text_id, text) of single-key objects, one a line; a sample's passages become one text, and a line that is none is an error."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.explode(_parsed("map<string,array<string>>")).alias("sample_id", "texts"))
     return rows.select("sample_id", F.lit("0").alias("source_text_id"), F.array_join("texts", "\n").alias("text"))
 
 
+def _parsed(kind: str) -> Column:
+    return F.coalesce(F.from_json("value", kind), F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))))
+
+
+def keyed_questions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """(id, question, answer and what else there is) of question records, which name their id ``id`` or ``_id``."""
+    rows = records(spark, path, multiline)
+    own = [F.col(c) for c in ("id", "_id") if c in rows.columns]
+    if not own:
+        raise ValueError(f"{path} has neither id nor _id")
+    return rows.select(F.coalesce(*own).cast("string").alias("id"), *[c for c in rows.columns if c not in ("id", "_id")])
+
+
 def records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A list of records (``multiline``) or one record a line."""
     return spark.read.option("multiLine", multiline).json(path)
