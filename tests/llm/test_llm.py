@@ -390,6 +390,41 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.98 and all(0 <= r.score <= 1 for r in found)
 
 
+def plain_grams(text):
+    """Codes of one to three letters of each word, with a border on either side of it."""
+    code = lambda gram: sum((1 if c == " " else ord(c) + 2) << 21 * (2 - i) for i, c in enumerate(gram))
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            edged = f" {word} "
+            out += [code(g) for g in word] + [code(edged[i : i + 2]) for i in range(len(edged) - 1)] + [code(edged[i : i + 3]) for i in range(len(edged) - 2)]
+            word = ""
+    return out
+
+
+def test_language_query_equals_brute_force(spark, docs, plain):
+    import __spark_entry__ as entry
+
+    ranked = lambda counts: [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language_id.PROFILE]]
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in plain}
+    grams = {i: Counter(plain_grams(t)) for i, t, _ in plain}
+    totals = defaultdict(Counter)
+    for i, _, lang in plain:
+        if not held[i] and lang is not None:
+            totals[lang] += grams[i]
+    profiles = {lang: {c: r for r, c in enumerate(ranked(n))} for lang, n in totals.items()}
+    found = {r.doc_id: r for r in entry.queries()["op6_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(plain)
+    for i, _, _ in plain:
+        own = ranked(grams[i])
+        away = {lang: sum(abs(r - p[c]) if c in p else language_id.PROFILE for r, c in enumerate(own)) for lang, p in profiles.items()}
+        lang = min(away, key=lambda k: (away[k], k)) if own else "und"
+        assert (found[i].held_out, found[i].lang_pred) == (held[i], lang)
+        assert found[i].score == pytest.approx(1 - away[lang] / (language_id.PROFILE * len(own)) if own else 0.0)
+
+
 def test_ngrams_of_words():
     codes, rows = language_id.ngram_codes(["Ab!", "1", "b"])
     assert Counter(rows.tolist()) == {0: 2 + 3 + 2, 2: 1 + 2 + 1}
@@ -614,9 +649,24 @@ def test_token_counts_equal_plain_search(docs, plain):
         return best[-1][1]
 
     found = {r.doc_id: r for r in token_counts.token_counts(docs, "piece_bpe_32k.model").collect()}
-    for i, text, _ in plain[:60]:
+    counts = {}
+    for i, text, _ in plain:
         split = text.encode().split()
-        assert (found[i].n_pretokens, found[i].n_tokens) == (len(split), sum(count(token_counts.MARK + w.decode()) for w in split))
+        for w in set(split) - counts.keys():
+            counts[w] = count(token_counts.MARK + w.decode())
+        assert (found[i].n_pretokens, found[i].n_tokens) == (len(split), sum(counts[w] for w in split))
+
+
+def test_token_counts_of_odd_rows(odd, monkeypatch):
+    found = defaultdict(list)
+    for r in token_counts.token_counts(odd, "piece_bpe_32k.model").collect():
+        found[r.doc_id].append((r.n_pretokens, r.n_tokens))
+    assert found[3] == found[4] == found[5] == [(0, 0)] and found[6][0] == found[6][1] and found[6][0][0] == 20_000 and (0, 0) in found[None] and found[7][0][0] == 2
+    trie = token_counts.PieceTrie(token_counts.read_pieces(P.path("piece_bpe_32k.model")))
+    words = [token_counts.MARK + w for w in ("quick", "quicker", "quick", "naïve", "🙂", "")]
+    once = [trie.insert(w) for w in words]
+    trie.clear()
+    assert [trie.insert(w) for w in words[::-1]][::-1] == once and once[0] == once[2]
 
 
 # 10 top-k
@@ -744,6 +794,27 @@ def test_pipeline_stages(spark, sf):
     assert tokenizer.decode(np.frombuffer(pieces[0].ids, "<u4").tolist()[:-1])
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns with names that operators use."""
+    import corpus_pipeline
+
+    labels = odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (odd, none):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, rows = rows.count(), stage(spark, rows, str(tmp_path)).cache()
+            assert rows.columns == odd.columns and rows.count() <= before
+        texts = [r.text for r in rows.collect()]
+        pieces = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in pieces) == len(texts)
+    start = odd.where("doc_id IS NULL OR doc_id <> 12")
+    kept = corpus_pipeline.drop_exact_copies(spark, start, "")
+    assert Counter(re.sub(r"[ \t-\r]+", " ", r.text or "") for r in kept.collect()).most_common(1)[0][1] == 1
+    near = corpus_pipeline.drop_near_copies(spark, kept, "")
+    assert {r.doc_id for r in kept.collect()} - {r.doc_id for r in near.collect()} == {2, 8, 11}
+
+
 def _groups(df):
     out = defaultdict(list)
     for r in df.collect():
