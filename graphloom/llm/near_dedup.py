@@ -199,20 +199,22 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _within_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _within_blocks(rows: DataFrame, sizes: DataFrame, sketched: DataFrame) -> DataFrame:
     """Links (a, b) between different components of one bucket, by component, enough to join all that its members' links join.
 
-    ``rows``: key, class_id, comp, n, bands, filled, shingles; ``sizes``: key, most (its most frequent component), many (that one's
-    members) and size (all). Members outside the most frequent component are dealt to the first blocks, the others to those after; pairs
-    of blocks of which at least one is a first one are a run of rows in some partition each. A pair is looked at only in the first band
-    that its members share.
+    ``rows``: key, class_id, comp; ``sizes``: key, most (its most frequent component), many (that one's members) and size (all);
+    ``sketched``: class_id, n, bands, filled, shingles. A bucket that fits a block is one. In others the members outside the most frequent
+    component are dealt to the first blocks, the rest to those after; pairs of blocks of which at least one is a first one are a run of
+    rows in some partition each. A pair is looked at only in the first band that its members share.
     """
-    few, held = F.col("comp") != F.col("most"), rows.join(sizes, "key")
-    held = held.withColumns({"first": F.ceil((F.col("size") - F.col("many")) / F.lit(BLOCK)).cast("int"), "rest": F.ceil(F.col("many") / F.lit(BLOCK)).cast("int")})
+    small, held = F.col("size") <= BLOCK, rows.join(sizes, "key")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    held = held.withColumns({"few": small | (F.col("comp") != F.col("most")), "first": F.when(small, 1).otherwise(blocks(F.col("size") - F.col("many"))), "rest": F.when(small, 0).otherwise(blocks(F.col("many")))})
     place = F.xxhash64("class_id")
-    own = F.when(few, F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.col("rest"))).cast("int")
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("first") - 1 + F.when(few, F.col("rest")).otherwise(0))))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp", "n", "bands", "filled", "shingles")
+    own = F.when(F.col("few"), F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.col("rest"))).cast("int")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("first") - 1 + F.when(F.col("few"), F.col("rest")).otherwise(0))))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "class_id", "comp")
+    dealt = dealt.join(sketched, "class_id").select("key", "i", "j", "side", "class_id", "comp", "n", "bands", "filled", "shingles")
     keys = ["key", "i", "j"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
@@ -302,9 +304,10 @@ def sketches_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: s
     by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     sizes = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("many"), F.sum("c").alias("size")).where("many < size")
     sizes = cut(sizes)
-    rows = members.join(sizes.select("key"), "key", "left_semi").select("key", "class_id").join(in_comp.select("class_id", "comp", "n", "bands", "filled"), "class_id")
-    sets = _sets(docs, cut(rows.select(F.col("class_id").alias("doc_id")).distinct()))
-    second = _within_blocks(rows.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"), sizes)
+    rows = cut(members.join(sizes.select("key"), "key", "left_semi").select("key", "class_id", "comp"))
+    ids = cut(rows.select(F.col("class_id").alias("doc_id")).distinct())
+    sketched = _sets(docs, ids).withColumnRenamed("doc_id", "class_id").join(in_comp.select("class_id", "n", "bands", "filled"), "class_id")
+    second = _within_blocks(rows, sizes, sketched)
     # The links found there join whole components, so only those are looked at again.
     joined = cut(connected_components(second, "a", "b"))
     named = in_comp.select("k1", "k2", "n", "comp").join(joined.withColumnRenamed("node", "comp"), "comp", "left")

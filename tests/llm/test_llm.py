@@ -106,11 +106,12 @@ def test_block_comparison(spark, monkeypatch, known):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     comp = F.when(F.col("doc_id") < known, 0).otherwise(F.col("doc_id")).cast("long")
     key = F.lit(0).cast("long")
-    rows = near_dedup.sketch(docs).select(key.alias("key"), F.col("doc_id").alias("class_id"), comp.alias("comp"), "n", F.transform("bands", lambda b: key).alias("bands"), "filled")
+    sketched = near_dedup.sketch(docs).select(F.col("doc_id").alias("class_id"), "n", F.transform("bands", lambda b: key).alias("bands"), "filled")
+    rows = docs.select(key.alias("key"), F.col("doc_id").alias("class_id"), comp.alias("comp"))
     monkeypatch.setattr(near_dedup, "passes_estimate", lambda a, b, *rest: np.ones(len(a), bool))
     sizes = spark.createDataFrame([(0, 0, max(1, known), len(texts))], "key long, most long, many long, size long")
     sets = near_dedup._sets(docs, docs.select("doc_id")).withColumnRenamed("doc_id", "class_id")
-    links = near_dedup._within_blocks(rows.join(sets, "class_id"), sizes).collect()
+    links = near_dedup._within_blocks(rows, sizes, sketched.join(sets, "class_id")).collect()
     assert all((r.a < 13) == (r.b < 13) for r in links) and len(links) < 13 * 13
     joined = near_dedup.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "u long, v long"))
     assert {r.node: r.component for r in joined.collect()} == {i: 13 * (i // 13) for i in range(26) if not 0 < i < known}
