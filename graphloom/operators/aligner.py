@@ -63,3 +63,18 @@ def add_entities(catalog: Catalog, aliases: DataFrame, embedder: HashEmbedder =
 def add_properties(catalog: Catalog, aliases: DataFrame, embedder: HashEmbedder = HashEmbedder()) -> None:
     """Store aliases of dynamic properties by key; rows without a vector are embedded."""
     catalog.upsert("property_aliases", with_embeddings(aliases, embedder), schemas.KEYS["dynamic"]["property_aliases"])
+
+
+def cached_embeddings(texts: DataFrame, column: str, cache: DataFrame, embedder: HashEmbedder) -> tuple[DataFrame, DataFrame]:
+    """((text, embedding) of the distinct texts, the cache with what it lacked). ``cache``: text, embedding; only unknown texts are embedded."""
+    wanted = texts.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct()
+    made = embedded(wanted.join(cache.select("text"), "text", "left_anti"), "text", embedder)
+    grown = cache.select("text", "embedding").unionByName(made)
+    return grown.join(wanted, "text", "left_semi"), grown
+
+
+def resize_vectors(catalog: Catalog, name: str, embedder: HashEmbedder, text: str = "alias", vector: str = "alias_text_embedding") -> None:
+    """Embed a table's texts anew where another model has other dimensions; the rows stay."""
+    rows = catalog.read(name).withColumn(vector, F.lit(None).cast("array<float>"))
+    catalog.write(name, with_embeddings(rows, embedder, text, vector))
+    catalog.ensure_vector_index(name, vector, embedder.dims)

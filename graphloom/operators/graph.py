@@ -92,6 +92,17 @@ def local_clustering(edges: DataFrame, group: list[str] = ()) -> DataFrame:
     return every.join(degree, [*g, "node"], "left").join(corners, [*g, "node"], "left").select(*g, "node", d.alias("degree"), value.alias("clustering"))
 
 
+def printed_statistics(edges: DataFrame) -> str:
+    """The graph's totals as lines of text."""
+    row = graph_size(edges).join(largest_component(edges), F.lit(True)).join(local_clustering(edges).agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("clustering")), F.lit(True)).first()
+    return "\n".join(f"{name.replace('_', ' ')}: {value:.4f}" if isinstance(value, float) else f"{name.replace('_', ' ')}: {value}" for name, value in row.asDict().items())
+
+
+def timing_means(timings: DataFrame) -> DataFrame:
+    """(label, mean_ms, n) from (label, ms)."""
+    return timings.groupBy("label").agg(F.avg("ms").alias("mean_ms"), F.count("ms").alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node, lone ones with a loop included."""
     pairs = simple_edges(edges)

@@ -82,3 +82,19 @@ def claimed_ids(column: str, properties: tuple[str, ...] = ("P31", "P279")) -> F
     """Ids that raw entity JSON claims under the given properties."""
     blocks = F.regexp_extract_all(F.col(column), F.lit(rf'"(?:{"|".join(properties)})":\[(.*?)\](?=,"P|\}}|$)'), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'(?<="id":")([A-Z][0-9]+)(?=")'), F.lit(1)))))
+
+
+def describe(ids: DataFrame, labels: DataFrame, redirects: DataFrame, key: str) -> DataFrame:
+    """(key, label, description) of ids, an id that has moved under that of its successor; unknown ids keep null.
+
+    ``labels``: key, label, description, of which the first by label counts. ``redirects``: id, successor.
+    """
+    moved = redirects.groupBy(F.col("id").alias(key)).agg(F.min("successor").alias("_now"))
+    found = labels.groupBy(F.col(key).alias("_now")).agg(F.min(F.struct("label", "description")).alias("_d"))
+    now = ids.select(key).distinct().join(moved, key, "left").withColumn("_now", F.coalesce("_now", key))
+    return now.join(found, "_now", "left").select(key, F.col("_d.label").alias("label"), F.col("_d.description").alias("description"))
+
+
+def merge_descriptions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, description): what is new wins, what it lacks stays."""
+    return new.where("description IS NOT NULL").select(key, "description").unionByName(old.select(key, "description").join(new.where("description IS NOT NULL"), key, "left_anti"))

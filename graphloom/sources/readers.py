@@ -156,6 +156,20 @@ class RunConfig:
         return cls(**{k: v for k, v in values.items() if k in known and v is not None})
 
 
+@dataclass
+class QuestionConfig(RunConfig):
+    """Settings of an evaluation run."""
+
+    use_qualifiers: bool = True
+    use_filtered: bool = False
+    multi_step: bool = False
+    run_number: int = 0
+
+    def should_dump(self, store_is_local: bool) -> bool:
+        """A dump is written where asked for, and where the store ends with the run."""
+        return self.dump or store_is_local
+
+
 def sample_slice(passages: DataFrame, order: str, start: int, n: int) -> DataFrame:
     """Passages of samples ``start`` to ``start + n`` in the order of their first appearance."""
     first = passages.groupBy("sample_id").agg(F.min(order).alias("_first")).orderBy("_first", "sample_id").limit(start + n)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from graphloom import schemas
 from graphloom.engine import Engine
-from graphloom.functions import models, text
+from graphloom.functions import language_model, models, text
 from graphloom.operators import aligner, build, graph, qa, refine, tables
 from graphloom.plans import registry
-from graphloom.sources import readers, sinks
+from graphloom.sources import ontology_source, readers, sinks
 
 MAPS = {
     "subj_constraint2prop": {"E1": ["P2", "P1"], "E3": ["P9"]},
@@ -158,3 +158,98 @@ def test_similar_names_query(spark, sf):
     rows = registry()[0]["similar_names"](spark, sf).collect()
     asked = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 100 = 0").count()
     assert len({r.query_id for r in rows}) == asked > 0 and all(r.score == 1.0 for r in rows if r.place == 1)
+
+
+class Script:
+    """A client that answers from a list and remembers what it was asked."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def __call__(self, system, user):
+        self.asked.append((system, user))
+        return language_model.Completion(self.answers.pop(0), 10, 2)
+
+
+def model(*answers):
+    client = Script(*answers)
+    return language_model.LanguageModel(client, retry=models.RetryPolicy(3, base_s=0)), client
+
+
+def test_language_model_calls():
+    m, client = model("sorry", '{"triplets": 3}', 'Here: ```json\n{"triplets": [{"subject": "a"}]}\n```')
+    assert language_model.ModelExtractor(m)("some text") == [{"subject": "a"}] and (m.prompt_tokens, m.completion_tokens) == (30, 6)
+    assert "rejected: no JSON" in client.asked[1][0] and "rejected: triplets is not a list" in client.asked[2][0] and "some text" in client.asked[0][1]
+    m, _ = model("x", "x", "x")
+    with pytest.raises(RuntimeError):
+        language_model.ModelExtractor(m)("t")
+    chosen = lambda kind, answer: language_model.ModelChooser(model(answer)[0], kind)("n", ["b", "c"])
+    assert chosen("subject_ranker", " b ") == "b" and chosen("object_ranker", "None.") is None and chosen("object_ranker", "elsewhere") is None
+    assert chosen("relation_ranker", '{"relation": "c"}') == "c" and chosen("relation_ranker_wo_entity_types", "c") == "c" and chosen("entity_types_ranker", '{"subject_type": "b", "object_type": "x"}') == "b"
+    assert language_model.ModelChooser(model()[0])("n", []) is None
+    linker = language_model.ModelLinker(model('["Paris", "Rome"]', '[{"entity": "Rome"}]')[0])
+    assert linker("q") == ["Paris", "Rome"] and linker.relevant("q", ["Paris", "Rome"]) == ["Rome"]
+    assert language_model.ModelAnswerer(model("None")[0])("q", [("a", "b", "c")]) is None
+    stepper = language_model.ModelStepper(model("first?", "NOT FINAL", "second?", "done")[0])
+    assert (stepper.decompose("q"), stepper.settled("q", ["first?"], ["a"]), stepper.collapse("q", "first?", "a"), stepper.settled("q", ["x"], [None])) == ("first?", None, "second?", "done")
+
+
+def test_prompt_files(tmp_path):
+    (tmp_path / "qa.txt").write_text("Be brief.")
+    with pytest.warns(UserWarning):
+        prompts = language_model.read_prompts(str(tmp_path))
+    assert prompts["qa"] == "Be brief." and prompts.keys() == language_model.USER_PROMPTS.keys() and len(prompts) == 13
+
+
+def test_language_model_in_executors(spark):
+    def client(system, user):
+        return language_model.Completion('{"triplets": [{"subject": "' + user.split()[-1] + '", "relation": "r", "object": "o"}]}')
+
+    passages = spark.createDataFrame([("s", "0", "about x"), ("s", "1", "about y")], "sample_id string, source_text_id string, text string")
+    facts = refine.extract(passages, language_model.ModelExtractor(language_model.LanguageModel(client))).collect()
+    assert {(f.subject, f.prompt_token_num) for f in facts} == {("x", 2), ("y", 2)}
+
+
+def test_embedders(tmp_path, monkeypatch):
+    hidden, mask = np.arange(12.0).reshape(2, 3, 2), np.array([[1, 1, 0], [1, 0, 0]])
+    assert models.pool(hidden, mask).tolist() == [[1, 2], [6, 7]] and models.pool(hidden, mask, "cls").tolist() == [[0, 1], [6, 7]]
+    assert np.allclose(np.linalg.norm(models.pool(hidden, mask, "cls", True), axis=1), 1)
+    with pytest.raises(ValueError):
+        models.pool(hidden, mask, "max")
+    own = models.EncoderEmbedder(lambda texts: (np.array([[[len(t), 0.0]] for t in texts]), np.ones((len(texts), 1))), 2, normed=True, prefix="p: ")
+    assert own(["ab", None, " "]) == [[1.0, 0.0], None, None]
+    models.register_embedder("own", lambda: own)
+    assert models.load_embedder("own") is own and models.load_embedder("hash").dims == 64
+    with pytest.raises(ValueError):
+        models.load_embedder("none")
+    assert models.model_path("m", "NO_SUCH_VARIABLE", str(tmp_path), "org/m") == "org/m"
+    (tmp_path / "m").mkdir()
+    assert models.model_path("m", "NO_SUCH_VARIABLE", str(tmp_path), "org/m") == str(tmp_path / "m")
+    monkeypatch.setenv("MODEL_FOLDER", str(tmp_path))
+    assert models.model_path("m", "MODEL_FOLDER", "/nowhere", "org/m") == str(tmp_path)
+    assert [models.truthy(v) for v in ("Yes", "0", None, "")] == [True, False, False, False] and models.truthy(None, True)
+    assert models.language_setting("Russian", "prompts") == "prompts_ru"
+
+
+def test_caches_descriptions_and_settings(spark, tmp_path):
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string")
+    cache = spark.createDataFrame([("a", [9.0])], "text string, embedding array<float>")
+    found, grown = aligner.cached_embeddings(texts, "t", cache, models.HashEmbedder())
+    assert {r.text: len(r.embedding) for r in found.collect()} == {"a": 1, "b": 64} and grown.count() == 2
+    catalog = tables.Catalog(spark, str(tmp_path / "db"))
+    catalog.provision()
+    catalog.append("entity_aliases", spark.createDataFrame([("l", "t", "a", "s", [1.0])], schemas.SCHEMAS["entity_aliases"]))
+    aligner.resize_vectors(catalog, "entity_aliases", models.HashEmbedder(dims=8))
+    assert catalog.check_dimensions("entity_aliases", 8) and catalog.vector_indexes["entity_aliases"].dims == 8
+    labels = spark.createDataFrame([("Q2", "two", "d2"), ("Q3", "three", None)], "id string, label string, description string")
+    moved = spark.createDataFrame([("Q1", "Q2")], "id string, successor string")
+    rows = ontology_source.describe(spark.createDataFrame([("Q1",), ("Q3",), ("Q9",)], "id string"), labels, moved, "id").collect()
+    assert {r.id: (r.label, r.description) for r in rows} == {"Q1": ("two", "d2"), "Q3": ("three", None), "Q9": (None, None)}
+    old, new = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, description string"), spark.createDataFrame([("a", "z"), ("b", None)], "id string, description string")
+    assert {tuple(r) for r in ontology_source.merge_descriptions(old, new, "id").collect()} == {("a", "z"), ("b", "y")}
+    config = readers.QuestionConfig.of({"multi_step": True, "samples": None, "odd": 1})
+    assert (config.use_qualifiers, config.use_filtered, config.multi_step, config.samples) == (True, False, True, 50) and config.should_dump(True) and not config.should_dump(False)
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a")], "subject string, relation string, object string")
+    assert graph.printed_statistics(edges) == "nodes: 3\nedges: 3\nmean degree: 2.0000\nlargest component: 3\nclustering: 1.0000"
+    timed = spark.createDataFrame([("q", 1.0), ("q", 3.0)], "label string, ms double")
+    assert tuple(graph.timing_means(timed).first()) == ("q", 2.0, 2)
