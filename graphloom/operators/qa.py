@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.models import Answerer, HashEmbedder, Stepper, question_entities
@@ -61,10 +61,26 @@ def k_hop_by_question(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> Dat
     return found.distinct()
 
 
-def answer(questions: DataFrame, support: DataFrame, answerer: Answerer) -> DataFrame:
-    """(question_id, question, answer); a question without support has no answer."""
+#: Facts that an answerer is shown: it reads them at once, so a question about a hub of the graph needs a bound.
+MOST_FACTS = 10_000
+
+
+def nearest_facts(questions: DataFrame, support: DataFrame, most: int) -> DataFrame:
+    """Each question's distinct facts; of more than ``most`` those that share most words with the question, then by text."""
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""))
+    facts = support.select("question_id", "subject", "relation", "object").distinct()
+    asked = questions.select("question_id", words("question").alias("_words"))
+    shared = F.size(F.array_intersect(words(F.concat_ws(" ", "subject", "relation", "object")), "_words"))
+    rated = facts.join(asked, "question_id").withColumn("_shared", shared)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("_shared"), "subject", "relation", "object"))
+    return rated.withColumn("_place", place).where(F.col("_place") <= most).select("question_id", "subject", "relation", "object")
+
+
+def answer(questions: DataFrame, support: DataFrame, answerer: Answerer, most: int = MOST_FACTS) -> DataFrame:
+    """(question_id, question, answer); a question without support has no answer. The answerer sees at most ``most`` facts, the nearest."""
     ship(questions.sparkSession)
-    facts = support.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("subject", "relation", "object"))).alias("facts"))
+    facts = nearest_facts(questions, support, most)
+    facts = facts.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("subject", "relation", "object"))).alias("facts"))
     held = questions.select("question_id", "question").join(facts, "question_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,13 @@ def test_aliases_are_embedded_where_they_have_no_vector(spark, tmp_path):
     assert len(catalog.read("property_aliases").first().alias_text_embedding) == 64
 
 
+def test_an_answerer_sees_the_nearest_facts(spark):
+    asked = spark.createDataFrame([(1, "which part of France"), (2, None)], "question_id int, question string")
+    facts = [(1, f"x{i}", "is", "y") for i in range(5)] + [(1, "a", "part of", "France"), (1, "a", "part of", "France"), (1, "b", "part of", "Spain"), (2, "c", "is", "d")]
+    found = qa.nearest_facts(asked, spark.createDataFrame(facts, "question_id int, subject string, relation string, object string"), 3)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "part of", "France"), (1, "b", "part of", "Spain"), (1, "x0", "is", "y"), (2, "c", "is", "d")]
+
+
 def test_answers_in_steps(spark):
     edges = spark.createDataFrame([("Paris", "capital of", "France", "0"), ("France", "part of", "Europe", "1"), ("Rome", "capital of", "Italy", "2")], "subject string, relation string, object string, source_text_id string")
     names = refine.embedded(spark.createDataFrame([(n,) for n in ("Paris", "France", "Europe", "Rome", "Italy")], "name string"), "name", models.HashEmbedder())
