@@ -555,11 +555,11 @@ def chunk_random(spark, sf):
 _BODY = r"regexp_replace(regexp_replace(html, '(?is)<h2[ >].*$', ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
 
 
-@query("page_paragraphs", rf"""SELECT page_id, pos, trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS paragraph, list_filter(regexp_extract_all(p, '(?is)<a\s[^>]*title="([^"]*)"', 1), lambda t: t <> '') AS links
+@query("page_paragraphs", rf"""SELECT page_id, pos, trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS paragraph, list_filter(regexp_extract_all(p, '(?is)<a\s[^>]*title="([^"]*)"', 1), lambda t: t <> '').array_to_string('|') AS links
     FROM (SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, ps[i] AS p FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT page_id, regexp_extract_all({_BODY}, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages)))
     WHERE trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''""")
 def page_paragraphs(spark, sf):
-    return readers.page_paragraphs(fixtures.table(spark, sf, "pages"))
+    return readers.page_paragraphs(fixtures.table(spark, sf, "pages")).withColumn("links", F.array_join("links", "|"))
 
 
 @query("alias_cjk_filter", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')")
