@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +21,19 @@ PLAIN = {
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "ð": "d",
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
 }
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćšžřěůďťňąęśźżńÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝČĆŠŽŘĚŮĎŤŇĄĘŚŹŻŃ"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyyccszreudtnaeszznAAAAAACEEEEIIIINOOOOOUUUUYCCSZREUDTNAESZZN"
+def _bare_letters() -> dict[str, str]:
+    """Letters with marks, and other forms of one ASCII character, by compatibility decomposition."""
+    blocks = (0x00C0, 0x0250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F)
+    pairs = ((chr(i), "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))) for low, high in blocks for i in range(low, high))
+    return {letter: bare for letter, bare in pairs if len(bare) == 1 and bare.isascii()}
+
+
+BARE = _bare_letters()
 
 
 def ascii_letters(text: Column) -> Column:
-    """Transliteration to ASCII for Latin letters with marks and for Cyrillic; stays in the JVM."""
-    out = F.translate(text, _MARKED, _BARE)
+    """Transliteration to ASCII for Latin letters with marks, full-width forms and Cyrillic; stays in the JVM."""
+    out = F.translate(F.regexp_replace(text, r"\p{M}+", ""), "".join(BARE), "".join(BARE.values()))
     for letter, plain in PLAIN.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
         if letter.upper() != letter and letter.upper() not in PLAIN and len(letter.upper()) == 1:
@@ -67,6 +74,12 @@ def is_none_answer(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"(?U)[^\w\s]", "") == "None", F.lit(False))
 
 
+def merge_maps(left: Column, right: Column) -> Column:
+    """The entries of both maps; of a key in both the right one's."""
+    kept = F.map_filter(F.coalesce(left, F.create_map().cast("map<string,string>")), lambda k, _: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
+    return F.map_concat(kept, F.coalesce(right, F.create_map().cast("map<string,string>")))
+
+
 def uri_tail(uri: Column) -> Column:
     return F.element_at(F.split(uri, "/"), -1)
 

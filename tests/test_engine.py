@@ -151,6 +151,24 @@ def test_json_amid_prose(spark):
     assert [r.s for r in said] == ['"caf\\u00e9"', "Abc é", "a b", None]
 
 
+def test_plain_letters_and_maps(spark):
+    cases = {"Žižek Ñandú façade": "Zizek Nandu facade", "Straße Łódź": "Strasse Lodz", "Щука жук": "Shchuka zhuk", "Ｆｕｌｌ": "Full", "e\u0301": "e", "ệ ǭ": "e o", "日本": "日本"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.p for r in df.select("t", text.ascii_letters(F.col("t")).alias("p")).collect()} == cases
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"c": "4"}), ({"d": "5"}, None)], "l map<string,string>, r map<string,string>")
+    assert [r.m for r in maps.select(text.merge_maps(F.col("l"), F.col("r")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {"c": "4"}, {"d": "5"}]
+
+
+def test_choosers_of_their_own(spark):
+    from graphloom.plans.queries import _ontology_with_aliases
+
+    onto = _ontology_with_aliases(spark)
+    onto.type_chooser, onto.relation_chooser = lambda name, candidates, context="": "order", lambda name, candidates, context="": "contains"
+    facts = spark.createDataFrame([("Order#1", "holds", "Part#1", "purchase", "part")], "subject string, relation string, object string, subject_type string, object_type string")
+    row = refine.refine_relations(refine.refine_types(facts, onto), onto).first()
+    assert (row.subject_type, row.relation, row.property_id) == ("order", "contains", "P4")
+
+
 def test_section_chunks(spark):
     df = spark.createDataFrame([("f", "section_1", " ".join(f"S{i}." for i in range(9))), ("f", "section_2", "")], "filename string, section string, text string")
     assert [(r.section, r.chunks) for r in text.chunk_sections(df).collect()] == [("section_1", {1: "S0. S1. S2. S3.", 2: "S4. S5. S6. S7. S8."})]
