@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,6 +112,24 @@ class Catalog:
     indexes: dict[str, list[str]] = field(default_factory=dict)
     vector_indexes: dict[str, VectorIndex] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        fs, path = self._fs()
+        if fs.exists(path(self._record)):
+            held = json.loads(self.spark.read.text(self._record, wholetext=True).first()[0])
+            self.indexes = held["indexes"] | self.indexes
+            self.vector_indexes = {name: VectorIndex(**v) for name, v in held["vector_indexes"].items()} | self.vector_indexes
+
+    @property
+    def _record(self) -> str:
+        return f"{self.root}/_record/indexes.json"
+
+    def _save(self) -> None:
+        """Keep what was recorded of indexes for the next session."""
+        fs, path = self._fs()
+        out = fs.create(path(self._record), True)
+        out.write(bytearray(json.dumps({"indexes": self.indexes, "vector_indexes": {n: asdict(v) for n, v in self.vector_indexes.items()}}), "utf-8"))
+        out.close()
+
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -195,11 +214,13 @@ class Catalog:
     def create_indexes(self, name: str, fields: list[str]) -> None:
         """Recorded for introspection only; scans prune by statistics."""
         self.indexes[name] = sorted({*self.indexes.get(name, []), *fields})
+        self._save()
 
     def ensure_vector_index(self, name: str, column: str, dims: int, metric: str = "cosine") -> bool:
         """Record the vectors of a table; whether a record that did not fit was replaced."""
         new, old = VectorIndex(name, column, dims, metric), self.vector_indexes.get(name)
         self.vector_indexes[name] = new
+        self._save()
         return old is not None and old != new
 
     def append(self, name: str, df: DataFrame) -> None:

@@ -98,6 +98,9 @@ def test_catalog_rewrites_only_what_a_batch_touches(spark, tmp_path):
     catalog.write("t", rows("q"))
     assert {n for n, _ in held()} == {"q"}
     assert not catalog.ensure_vector_index("t", "v", 3) and catalog.ensure_vector_index("t", "v", 4) and catalog.vector_indexes["t"].dims == 4
+    catalog.create_indexes("t", ["k"])
+    again = tables.Catalog(spark, str(tmp_path / "db"), buckets=8)
+    assert again.indexes == {"t": ["k"]} and again.vector_indexes == catalog.vector_indexes and again.names() == ["t"]
     other = tables.Catalog(spark, str(tmp_path / "other"))
     other.provision()
     other.append("entity_aliases", spark.createDataFrame([("l", "t", "a", "s", [1.0, 2.0])], schemas.SCHEMAS["entity_aliases"]))
