@@ -70,6 +70,26 @@ def test_ingestion_that_merges_names(spark, sf):
     assert found == wanted and {f[1] for f in found} < {f[3] for f in facts}
 
 
+def test_random_chunks_equal_a_plain_draw(spark, sf):
+    import random
+    import re
+
+    found = {}
+    for r in QUERIES["chunk_random"](spark, sf).collect():
+        found.setdefault(r.doc_id, []).append((r.chunk_id, r.chunk))
+    for doc in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        marked = re.sub(r"([.!?])[ \t\n\x0b\f\r]+", "\\1\x01", doc.text or "")
+        sentences = [t for t in (s.strip(" ") for s in marked.split("\x01")) if t]
+        draw, at, wanted = random.Random(f"0:{doc.doc_id}"), 0, []
+        while at < len(sentences):
+            left = len(sentences) - at
+            take = left if left <= 5 else draw.randint(3, 5)
+            take = left if left - take < 4 else take
+            wanted.append((len(wanted) + 1, " ".join(sentences[at : at + take])))
+            at += take
+        assert sorted(found.get(doc.doc_id, [])) == wanted
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
