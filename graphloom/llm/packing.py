@@ -2,7 +2,8 @@
 
 The corpus is cut into shards of consecutive rows, each with an inverted BM25 index of its own that is built, asked and dropped in
 one task, so no text is shuffled and memory is bounded by the shard. A seed document opens a sequence; the index returns its unused
-neighbours in the order of their scores and they fill the window greedily. The last one is cut where the window ends and its rest
+neighbours in the order of their scores and they fill the window greedily; where none is left that shares a telling word, the shard's
+next unused documents follow, as a window is not left open. The last one is cut where the window ends and its rest
 seeds the next sequence; so only the last sequence of a shard is padded. Documents longer than a window fill windows of their own
 first.
 
