@@ -139,7 +139,8 @@ def parse_triplets(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences by their end marks; an approximation of a trained splitter."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    # A function of two arguments would be given the place as the second: trim would then cut off its digits.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def chunk_fixed(df: DataFrame, key: str, text: str, size: int = 4, least: int = 4) -> DataFrame:
