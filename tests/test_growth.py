@@ -11,3 +11,13 @@ def test_sentences_keep_the_digits_of_their_place(spark):
     df = spark.createDataFrame([(1, "One. 1 is 1. 28.68.191.23 is it. 3")], "k int, t string")
     assert text.chunk_fixed(df, "k", "t").first().chunk == "One. 1 is 1. 28.68.191.23 is it. 3"
     assert df.select(text.split_sentences(F.col("t")).alias("s")).first().s == ["One.", "1 is 1.", "28.68.191.23 is it.", "3"]
+
+
+def test_names_of_the_same_grams_in_another_order_stay_apart(spark):
+    names = ["Customer#000001000", "Customer#000010000", "Customer#000010001", "Customer#000100001"]
+    vectors = np.array(models.HashEmbedder()(names))
+    assert (vectors @ vectors.T - np.eye(4)).max() < 0.995
+    facts = spark.createDataFrame([(n, "located in country", "CHINA", "customer", "country", [], "ASIA", str(i), i) for i, n in enumerate(names)], "subject string, relation string, object string, subject_type string, object_type string, qualifiers array<struct<relation:string,object:string>>, sample_id string, source_text_id string, seq long")
+    aliases = spark.createDataFrame([], "sample_id string, entity_type string, label string, alias string")
+    out = refine.refine_names(facts, aliases, models.HashEmbedder(), models.SimilarityChooser(least=0.9999))
+    assert sorted(r.subject for r in out.collect()) == names
