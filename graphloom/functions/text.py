@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,21 +120,25 @@ def extract_json(text: Column) -> Column:
     where it opens, then where it closes.
     """
     valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
-    whole = F.trim(text)
-    pieces = F.split(text, r"(?=[{\[])")
-    tails = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
-    parts = lambda tail: F.split(tail, r"(?<=[}\]])")
-    heads = lambda tail: F.transform(F.sequence(F.lit(1), F.size(parts(tail))), lambda i: F.array_join(F.slice(parts(tail), 1, i), ""))
-    bracketed = lambda x: x.rlike(r"(?s)^[{\[].*[}\]]$") & F.get_json_object(x, "$").isNotNull()
-    amid = F.get(F.filter(F.flatten(F.transform(tails, heads)), bracketed), F.lit(0))
-    return F.coalesce(valid(whole), valid(F.trim(fenced(text))), amid, text)
+    none = F.lit(None).cast("string")
+    # An object ends with a brace and a list with a bracket, so other parts need not be parsed; and none is once one is found.
+    closed = lambda x: (x.startswith("{") & x.endswith("}")) | (x.startswith("[") & x.endswith("]"))
+    head = lambda parts, i: F.array_join(F.slice(parts, 1, i), "")
+    first_head = lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), none, lambda got, i: F.coalesce(got, bound(head(parts, i), lambda x: F.when(closed(x), valid(x)))))
+    first_tail = lambda pieces: F.aggregate(F.sequence(F.lit(1), F.size(pieces)), none, lambda got, i: F.coalesce(got, bound(F.split(F.array_join(F.slice(pieces, i, F.size(pieces)), ""), r"(?<=[}\]])"), first_head)))
+    amid = bound(F.split(text, r"(?=[{\[])"), first_tail)
+    return F.coalesce(valid(F.trim(text)), valid(F.trim(fenced(text))), amid, text)
+
+
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: function(x)), F.lit(0))
 
 
 def parse_triplets(text: Column) -> Column:
     """The parsed extraction; null unless it is an object with a list ``triplets``."""
-    body = extract_json(text)
-    parsed = F.from_json(body, TRIPLETS_JSON)
-    return F.when(body.startswith("{") & parsed["triplets"].isNotNull(), parsed)
+    checked = lambda body: bound(F.from_json(body, TRIPLETS_JSON), lambda parsed: F.when(body.startswith("{") & parsed["triplets"].isNotNull(), parsed))
+    return bound(extract_json(text), checked)
 
 
 def split_sentences(text: Column) -> Column:
