@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schemas
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 
 def first_per_key(df: DataFrame, key: list[str], seq: str, last: bool = False) -> DataFrame:
@@ -65,21 +65,38 @@ def stage_union(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def dump_counts(stages: dict[str, DataFrame]) -> DataFrame:
+def _staged(stages: dict, rows: DataFrame | None) -> tuple[DataFrame, dict[str, F.Column]]:
+    """Rows with sample and source, and for each stage whether a row is of it.
+
+    ``stages`` holds a table for each stage; or, with ``rows``, a condition on this one table, which is then read and shuffled once
+    however many of its stages a row belongs to.
+    """
+    if rows is None:
+        rows = stage_union(stages)
+        stages = {s: F.col("stage") == s for s in stages}
+    spread(rows)
+    return rows.where("sample_id IS NOT NULL AND source_text_id IS NOT NULL"), {s: F.coalesce(c, F.lit(False)) for s, c in stages.items()}
+
+
+def dump_counts(stages: dict, rows: DataFrame | None = None) -> DataFrame:
     """Rows by sample, source and stage; rows without sample or source are left out."""
-    rows = stage_union(stages).where("sample_id IS NOT NULL AND source_text_id IS NOT NULL")
-    return rows.groupBy("sample_id", "source_text_id").pivot("stage", sorted(stages)).agg(F.count(F.lit(1))).na.fill(0)
+    rows, marks = _staged(stages, rows)
+    rows = rows.select("sample_id", "source_text_id", *[c.alias(s) for s, c in marks.items()]).where(" OR ".join(f"`{s}`" for s in marks))
+    return rows.groupBy("sample_id", "source_text_id").agg(*[F.count_if(F.col(s)).alias(s) for s in sorted(marks)])
 
 
-def dump(stages: dict[str, DataFrame], fields: tuple[str, ...] = schemas.EXPORT_FIELDS, samples: int | None = None) -> DataFrame:
+def dump(stages: dict, fields: tuple[str, ...] = schemas.EXPORT_FIELDS, samples: int | None = None, rows: DataFrame | None = None) -> DataFrame:
     """(sample_id, source_text_id, json): the lists of each stage for one passage, of the first ``samples`` samples if asked; absent
     fields are left out of the JSON."""
-    rows = stage_union(stages).where("sample_id IS NOT NULL AND source_text_id IS NOT NULL")
+    rows, marks = _staged(stages, rows)
+    fact = F.struct(*[f for f in fields if f in rows.columns])
+    rows = rows.select("sample_id", "source_text_id", F.struct(fact.alias("fact"), F.struct(*[c.alias(s) for s, c in marks.items()]).alias("of")).alias("_f")).where(" OR ".join(f"_f.of.`{s}`" for s in marks))
     if samples is not None:
         rows = rows.join(rows.select("sample_id").distinct().orderBy("sample_id").limit(samples), "sample_id", "left_semi")
-    fact = F.struct(*[f for f in fields if f in rows.columns])
-    lists = [F.sort_array(F.collect_list(F.when(F.col("stage") == s, fact))).alias(s) for s in stages]
-    return rows.groupBy("sample_id", "source_text_id").agg(*lists).select("sample_id", "source_text_id", F.to_json(F.struct(*stages)).alias("json"))
+    listed = rows.groupBy("sample_id", "source_text_id").agg(F.sort_array(F.collect_list("_f")).alias("_l"))
+    of = lambda stage: F.transform(F.filter("_l", lambda x: x["of"][stage]), lambda x: x["fact"]).alias(stage)
+    lists = [of(s) for s in marks]
+    return listed.select("sample_id", "source_text_id", F.to_json(F.struct(*lists)).alias("json"))
 
 
 def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:

@@ -67,6 +67,36 @@ def dropped_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nobody may read it again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Stored input that one shuffle partition may stand for, and the shuffled bytes up to which partitions are merged: they are compressed,
+#: and a task that joins, sorts and aggregates them holds some twenty times as much.
+PARTITION_BYTES, MERGED_BYTES = 2 << 20, "8m"
+_MERGE_SETTING, _MERGE_DEFAULT = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864b"
+
+
+def spread(*frames: DataFrame) -> None:
+    """Have the session deal as many shuffle partitions as these inputs need, so that a task's memory does not grow with them.
+
+    The number is only ever raised, and adaptive execution merges what turns out small; a merge size that the session was given stays.
+    """
+    spark = frames[0].sparkSession
+    size = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        size += sum(x for x in sizes if x < 1 << 50)  # beyond are inputs of unknown size
+    if size // PARTITION_BYTES > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(size // PARTITION_BYTES))
+    if spark.conf.get(_MERGE_SETTING) in (_MERGE_DEFAULT, "64MB", "64m") and not spark.sparkContext.getConf().contains(_MERGE_SETTING):
+        spark.conf.set(_MERGE_SETTING, MERGED_BYTES)
+
+
 _SHIPPED: set[str] = set()
 #: Arrow batches are cut by bytes, as texts may be long: of each batch several copies are held at once, in the JVM and in the worker.
 BATCH_BYTES = "4m"
