@@ -182,7 +182,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     ok.append(100 * shared >= PERCENT * (len(kept[2]) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _within_blocks(rows: DataFrame, sizes: DataFrame, sketched: DataFrame) -> Da
         if left is not None:
             yield emit(left, np.array([0, len(left["key"])]))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def sketches_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -295,7 +295,7 @@ def sketches_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: s
     index = classes.select("class_id", F.explode("bands").alias("key"))
     leads = stored(index.groupBy("key").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     stars = cut(index.join(leads, "key").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct())
-    first = cut(_confirmed(cut(_estimated(stars, classes)), docs))
+    first = _confirmed(cut(_estimated(stars, classes)), docs)
 
     # Buckets of three or more that still hold several components: there are pairs that no star has tested.
     comps = cut(connected_components(first, "a", "b"))

@@ -4,8 +4,8 @@ Nodes are 64-bit numbers. In a round every node joins the least of itself and it
 node fall away; numbers are drawn anew for the next round, so an expected quarter of the nodes goes at least, whatever the graph's shape,
 and a frequent node is gone after few rounds instead of collecting all others. Nothing is collected but one row of totals a round.
 
-``connected_components`` keeps the nodes' own numbers and alternates large-star and small-star rounds; near-duplicate links, of which a
-component has few, go through it.
+``connected_components`` names a component by its least node, for nodes that are numbers of their own (near-duplicate links). Up to
+``FEW_EDGES`` edges take no round at all: a round is several shuffles, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -103,33 +103,14 @@ def nodes_of(edges: DataFrame, left: str, right: str, group: list[str] = ()) ->
     return rows.select(*group, F.explode(F.array(left, right)).alias("node")).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the greater (large) or the lesser and own (small) neighbours of each node to its least neighbour."""
-    if large:
-        out = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-    else:
-        out = edges.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("m"))
-    least = cut(out.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least")))
-    linked = out.where(F.col("m") > F.col("n")) if large else out
-    rewired = linked.join(least, "n").select(F.col("m").alias("u"), F.col("least").alias("v"))
-    if not large:
-        rewired = rewired.union(least.select(F.col("n").alias("u"), F.col("least").alias("v")))
-    return rewired.where("u <> v").distinct()
-
-
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v", most_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; a component is named by its least node. Loops and null ends count for nothing."""
-    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
+    pairs = edges.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
     pairs = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct())
-    seen = pairs.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(most_rounds if seen[0] else 0):
-        pairs = cut(_star(_star(pairs, True), False))
-        # Converged when every edge leads to a node that no edge leaves: the totals then no longer change.
-        now = pairs.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    if pairs.count() <= FEW_EDGES:
+        ship(pairs.sparkSession)
+        return stored(pairs.coalesce(1).mapInArrow(_united, "node long, component long"), "components")
+    # Roots are numbers drawn in the rounds.
+    found = cut(roots(pairs, most_rounds))
+    least = found.groupBy("root").agg(F.min("id").alias("component"))
+    return found.join(least, "root").select(F.col("id").alias("node"), "component")
