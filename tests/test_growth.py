@@ -140,6 +140,25 @@ def test_questions_of_one_wording_are_answered_once(spark):
     assert any("/asked-" in f for f in answers.inputFiles())
 
 
+@pytest.mark.parametrize("least", [0.7, 0.95])
+def test_names_in_tiles_equal_a_plain_fold(spark, least, monkeypatch):
+    """No task compares more than two tiles, whatever the size of a sample and type (ingest_structured_merging), null samples included."""
+    from test_operators import plain_fold
+
+    monkeypatch.setattr(refine, "VECTOR_ROW", 8)
+    monkeypatch.setattr(refine, "TILE", 32)
+    monkeypatch.setattr(refine, "SLICE", (4, 16))
+    draw = np.random.default_rng(5)
+    names = [f"Order#{n}" for n in draw.integers(1000, 1300, 500)] + ["ORDER#1001", "order#1001"] + [f"order#{'12' * n}" for n in range(3, 20)]
+    facts = [("s" if i % 3 else "", f"{i:04d}", 0, n, "order", str(names[(7 * i) % len(names)]), "order") for i, n in enumerate(map(str, names))]
+    df = spark.createDataFrame(facts, "sample_id string, source_text_id string, seq long, subject string, subject_type string, object string, object_type string").withColumn("sample_id", F.nullif("sample_id", F.lit("")))
+    none = spark.createDataFrame([], "sample_id string, entity_type string, label string, alias string")
+    chooser = models.SimilarityChooser(least=least)
+    found = sorted((r.sample_id or "", r.source_text_id, r.subject, r.object) for r in refine.refine_names(df.repartition(5), none, models.HashEmbedder(), chooser).collect())
+    wanted = plain_fold(facts, [], models.HashEmbedder(), chooser, True)
+    assert found == wanted and len({w[2] for w in wanted}) < len({f[3] for f in facts})
+
+
 def test_json_amid_prose_is_found_once(spark):
     texts = ["x {no} [1, {\"a\": [2]}] y [3]", "{a [}] {\"b\": 1} {\"c\": 2}", "[{]", "{\"a\": [1}", "say {\"k\": \"}\"} end", "plain"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
